@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import bpe, decontaminate
 
 QUERIES = {
+    "op3_bpe": bpe.op3_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 
