@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, language, quality, toxicity
 
 QUERIES = {
+    "op10_quality": quality.op10_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op7_language": language.op7_language,
     "op3_bpe": bpe.op3_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
 }
