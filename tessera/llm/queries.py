@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, quality, toxicity
+from . import bpe, decontaminate, language, near, quality, toxicity
 
 QUERIES = {
+    "op2_near": near.op2_near,
     "op10_quality": quality.op10_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_language": language.op7_language,
