@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, near, quality, toxicity
+from . import bpe, decontaminate, language, near, quality, toxicity, vectors
 
 QUERIES = {
+    "op9_vectors": vectors.op9_vectors,
     "op2_near": near.op2_near,
     "op10_quality": quality.op10_quality,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op9_vectors": vectors.SQL,
     "op6_decontaminate": decontaminate.SQL,
 }
