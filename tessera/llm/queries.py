@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, near, quality, toxicity, vectors
+from . import bpe, decontaminate, language, near, quality, substring, toxicity, vectors
 
 QUERIES = {
+    "op8_substring": substring.op8_substring,
     "op9_vectors": vectors.op9_vectors,
     "op2_near": near.op2_near,
     "op10_quality": quality.op10_quality,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_substring": substring.SQL,
     "op9_vectors": vectors.SQL,
     "op6_decontaminate": decontaminate.SQL,
 }
