@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, near, quality, substring, toxicity, vectors
+from . import bpe, decontaminate, language, lines, near, quality, substring, toxicity, vectors
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
     "op8_substring": substring.op8_substring,
     "op9_vectors": vectors.op9_vectors,
     "op2_near": near.op2_near,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_lines": lines.SQL,
     "op8_substring": substring.SQL,
     "op9_vectors": vectors.SQL,
     "op6_decontaminate": decontaminate.SQL,
