@@ -148,7 +148,7 @@ class Encoder:
         """(number of ids, ids joined by commas, decoded bytes) of each text; both strings are concatenations over pieces, as the ids are."""
         for pieces in self.cut(texts):
             ids = ",".join(map(self.shown.__getitem__, pieces))
-            yield ids.count(",") + bool(ids), ids, b"".join(map(self.back.__getitem__, pieces))
+            yield ids.count(",") + bool(ids), ids, b"".join(map(self.back.__getitem__, pieces)), pieces
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -229,14 +229,17 @@ def _codec(path: str, shared, with_ids: bool):
         encoder = worker_encoder(path, shared.value)
         for piece in slices(batches):
             texts = [t or "" for t in piece.column("text").to_pylist()]
+            rows = [(n, _hex(ids.encode()), back.decode("utf-8", "replace"), pieces) for n, ids, back, pieces in encoder.digests(texts)]
+            n, digests, back, cut = zip(*rows, strict=True)
+            columns, names = [pa.array(n, pa.int64()), pa.array(digests, pa.string())], ["n_tokens", "ids_sha256"]
             if with_ids:
-                lists = encoder.encode_batch(texts)
-                rows = [(len(ids), _hex(",".join(map(str, ids)).encode()), encoder.decode(ids), ids) for ids in lists]
-                names, kinds = ["n_tokens", "ids_sha256", "decoded", "ids"], [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+                flat = np.fromiter(chain.from_iterable(map(encoder.known.__getitem__, chain.from_iterable(cut))), dtype=np.int32)
+                ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+                columns += [pa.array(back, pa.string()), pa.ListArray.from_arrays(ends, pa.array(flat))]
+                names += ["decoded", "ids"]
             else:
-                rows = [(n, _hex(ids.encode()), _hex(back.decode("utf-8", "replace").encode())) for n, ids, back in encoder.digests(texts)]
-                names, kinds = ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                columns.append(pa.array([_hex(t.encode()) for t in back], pa.string()))
+                names.append("decoded_sha256")
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns], names=["doc_id", *names])
 
     return run

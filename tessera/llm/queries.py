@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, lines, near, quality, substring, toxicity, vectors
+from . import bpe, decontaminate, language, lines, near, quality, secrets, substring, toxicity, vectors
 
 QUERIES = {
+    "op4_secrets": secrets.op4_secrets,
     "op1_lines": lines.op1_lines,
     "op8_substring": substring.op8_substring,
     "op9_vectors": vectors.op9_vectors,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_secrets": secrets.SQL,
     "op1_lines": lines.SQL,
     "op8_substring": substring.SQL,
     "op9_vectors": vectors.SQL,
