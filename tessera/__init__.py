@@ -1,0 +1 @@
+"""Dataframe-analytics operators as Spark plans."""
