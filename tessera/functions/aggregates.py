@@ -46,10 +46,10 @@ def deviation(c: Column, over: Over, ddof: int = 1) -> Column:
     return F.sqrt(variance(c, over, ddof))
 
 
-def standard_error(c: Column, over: Over, ddof: int = 1, window: bool = False) -> Column:
+def standard_error(c: Column, over: Over, ddof: int = 1, rolling: bool = False) -> Column:
     """Deviation over sqrt(n); frames divide the ddof=1 deviation by sqrt(n - ddof), as the rolling definition has it."""
     n = over(F.count(c))
-    if window:
+    if rolling:
         return F.when(n > ddof, deviation(c, over, 1) / F.sqrt(F.nullif(n - ddof, F.lit(0))))
     return F.when(n > 0, deviation(c, over, ddof) / F.sqrt(F.nullif(n, F.lit(0))))
 

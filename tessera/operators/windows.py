@@ -87,7 +87,7 @@ def _one(op: str, c: Column, w: WindowSpec, options: dict) -> Column:
     if op == "rank":
         return _rank(c, w, **options)
     if op == "sem":
-        return aggregate("sem", c, w, window=True, **options)
+        return aggregate("sem", c, w, rolling=True, **options)
     if op == "kurt":
         return aggregate("kurt", c, w, constant=-3.0)
     if op == "sum":

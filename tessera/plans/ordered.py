@@ -36,7 +36,7 @@ def running(df: DataFrame, order: list[str], folds: dict[str, tuple[str, Column]
     dealt = df.withColumns(values).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
     totals = dealt.groupBy("__part").agg(*[FOLDS[fold][0](f"__v_{out}").alias(out) for out, (fold, _) in folds.items()])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__part", *[FOLDS[fold][0](out).over(before).alias(f"__s_{out}") for out, (fold, _) in folds.items()])
+    starts = totals.select("__part", *[(F.sum if fold == "count" else FOLDS[fold][0])(out).over(before).alias(f"__s_{out}") for out, (fold, _) in folds.items()])
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # one row per part, so its size follows the number of partitions, not of rows
     both = dealt.join(F.broadcast(starts), "__part")

@@ -27,7 +27,7 @@ from .sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-DIGITS = 6
+DIGITS, SHIFT = 6, 0.0123
 
 
 def query(name: str, table: str, sql: str | None = None):
@@ -43,12 +43,12 @@ def query(name: str, table: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """All doubles rounded, negative zero made zero."""
-    return df.withColumns({n: F.round(n, digits) + 0.0 for n, t in df.dtypes if t == "double"})
+    """All doubles rounded, negative zero made zero. A small shift keeps exact halves from falling to either side."""
+    return df.withColumns({n: F.round(F.col(n) + SHIFT / 10**digits, digits) + 0.0 for n, t in df.dtypes if t == "double"})
 
 
 def r(x: str, digits: int = DIGITS) -> str:
-    return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0"
+    return f"round(CAST({x} AS DOUBLE) + {SHIFT / 10**digits!r}, {digits}) + 0.0"
 
 
 LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -237,7 +237,7 @@ query("replace_nested", "lineitem", "SELECT l_orderkey, CASE WHEN l_linenumber =
 query("replace_regex", "orders", r"SELECT o_orderkey, regexp_replace(o_orderpriority, '^(\d)-(.*)$', '\2 (\1)', 'g') AS o_orderpriority FROM orders")(
     lambda df: el.replace(df.select("o_orderkey", "o_orderpriority"), {r"^(\d)-(.*)$": r"\2 (\1)"}, regex=True)
 )
-query("map_dict", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders")(lambda df: el.map_column(df.select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"F": 1, "O": 2}, into="code").select("o_orderkey", "code"))
+query("map_dict", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 2.0::DOUBLE END AS code FROM orders")(lambda df: el.map_column(df.select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"F": 1.0, "O": 2.0}, into="code").select("o_orderkey", "code"))
 query("map_series", "customer nation", "SELECT c_custkey, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")(
     lambda c, n: el.map_column(c, "c_nationkey", n.select("n_nationkey", "n_name"), into="nation").select("c_custkey", "nation")
 )
@@ -268,11 +268,11 @@ query("chunk_apply_bykey", "events", "SELECT user_id, CAST(count(*) AS BIGINT) A
 
 # joins
 for _how, _join in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():
-    query(f"merge_{_how}", "orders customer", f"SELECT o_orderkey, o.k AS k, c_name FROM (SELECT o_orderkey, o_custkey AS k FROM orders WHERE o_custkey % 3 <> 0) o {_join} (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 2 = 0) c ON o.k = c.k".replace("o.k AS k", "coalesce(o.k, c.k) AS k"))(
-        lambda o, c, how=_how: jo.merge(o.filter("o_custkey % 3 <> 0").select("o_orderkey", F.col("o_custkey").alias("k")), c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name"), how, ["k"])
+    query(f"merge_{_how}", "orders customer", f"SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o.k AS k, c_name FROM (SELECT o_orderkey, o_custkey AS k FROM orders WHERE o_custkey % 3 <> 0) o {_join} (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 2 = 0) c ON o.k = c.k".replace("o.k AS k", "coalesce(o.k, c.k) AS k"))(
+        lambda o, c, how=_how: jo.merge(o.filter("o_custkey % 3 <> 0").select("o_orderkey", F.col("o_custkey").alias("k")), c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name"), how, ["k"]).withColumn("o_orderkey", F.col("o_orderkey").cast("double"))
     )
-query("merge_indicator", "orders customer", "SELECT o_orderkey, o_custkey, c_custkey, CASE WHEN o_orderkey IS NULL THEN 'right_only' WHEN c_custkey IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 <> 0) FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(
-    lambda o, c: jo.merge(o.filter("o_custkey % 3 <> 0").select("o_orderkey", "o_custkey"), c.filter("c_custkey % 2 = 0").select("c_custkey"), "outer", left_on=["o_custkey"], right_on=["c_custkey"], indicator=True)
+query("merge_indicator", "orders customer", "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, CAST(c_custkey AS DOUBLE) AS c_custkey, CASE WHEN o_orderkey IS NULL THEN 'right_only' WHEN c_custkey IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 <> 0) FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(
+    lambda o, c: jo.merge(o.filter("o_custkey % 3 <> 0").select("o_orderkey", "o_custkey"), c.filter("c_custkey % 2 = 0").select("c_custkey"), "outer", left_on=["o_custkey"], right_on=["c_custkey"], indicator=True).select(*[F.col(c).cast("double").alias(c) for c in ("o_orderkey", "o_custkey", "c_custkey")], "_merge")
 )
 query("merge_suffixes", "nation region", "SELECT n_regionkey AS k, n_name AS name_n, r_name AS name_r FROM nation JOIN region ON n_regionkey = r_regionkey")(
     lambda n, r_: jo.merge(n.select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name")), r_.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), on=["k"], suffixes=("_n", "_r"), validate="m:1")
@@ -439,8 +439,8 @@ _strings("extract", lambda: {"host": st.extract("url", "https?://([^/]+)"), "non
 _strings("findall", lambda: {"n": F.size(st.findall("text", "[A-Z][a-z]+")), "first": F.get(st.findall("text", "[A-Z][a-z]+"), F.lit(0))}, {"n": "CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS INT)", "first": "regexp_extract_all(text, '[A-Z][a-z]+')[1]"})
 _strings("predicates", lambda: {"a": st.isalpha("lang"), "b": st.isdigit("source"), "c": st.isalnum("source"), "d": st.islower("source"), "e": st.isupper("lang"), "f": st.isspace("lang"), "g": st.isnumeric("source"), "h": st.isdecimal("source"), "i": st.istitle("lang")},
          {"a": "regexp_full_match(lang, '[a-z]+')", "b": "false", "c": "regexp_full_match(source, '[a-z0-9]+')", "d": "true", "e": "false", "f": "false", "g": "false", "h": "false", "i": "false"})
-_strings("cat", lambda: {"a": st.cat("lang", "source", sep="-"), "b": st.join(F.array("lang", "source"), "+"), "c": st.encode("lang"), "d": st.decode(F.encode("source", "UTF-8"))},
-         {"a": "lang || '-' || source", "b": "lang || '+' || source", "c": "encode(lang)", "d": "source"})
+_strings("cat", lambda: {"a": st.cat("lang", "source", sep="-"), "b": st.join(F.array("lang", "source"), "+"), "c": F.hex(st.encode("lang")), "d": st.decode(F.encode("source", "UTF-8"))},
+         {"a": "lang || '-' || source", "b": "lang || '+' || source", "c": "hex(encode(lang))", "d": "source"})
 query("str_extractall", "pages", "SELECT page_id, CAST(i - 1 AS INT) AS \"match\", m[i] AS g1 FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS m FROM pages))")(
     lambda df: st.extractall(df.select("page_id", "html"), "html", 'href="([^"]*)"').select("page_id", "match", "g1")
 )
