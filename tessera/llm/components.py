@@ -57,8 +57,8 @@ def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
         left = cut(two.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a < b").distinct())
     roots = left.coalesce(1).mapInArrow(_finish, "node long, root long")
     for hook in reversed(hooks):
-        roots = roots.withColumnsRenamed({"node": "root", "root": "top"})
-        roots = hook.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = hook.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     if not hooks:
         return roots.select("node", F.col("root").alias("component"))
     # ranks were random: name each component by its least node
