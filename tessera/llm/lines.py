@@ -56,20 +56,19 @@ def dedup_lines(documents: DataFrame, every: int = EVERY) -> DataFrame:
     ).select("doc_id", "c.*")
     firsts = bodies.filter("is_first").select("hash", F.col("body").alias("same")).dropDuplicates(["hash"])
     gone = bodies.filter("not is_first").join(firsts, "hash").filter("body = same")
-    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    joined = documents.join(gone, documents["doc_id"].cast("long") == F.col("gone_id"), "left").drop("gone_id")
+    gone = gone.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__gone"))
+    joined = documents.join(gone, documents["doc_id"].cast("long") == F.col("__gone_id"), "left").drop("__gone_id")
     kept = (
-        f"transform(array({_LINES}), l -> array_join(flatten(transform(sequence(0, size(gone)), j -> "
-        "transform(array(if(j = 0, 0, gone[j - 1].b + 1)), f -> slice(l, f + 1, if(j = size(gone), size(l), gone[j].a) - f))[0])), '\\n'))[0]"
+        f"transform(array({_LINES}), l -> array_join(flatten(transform(sequence(0, size(__gone)), j -> "
+        "transform(array(if(j = 0, 0, __gone[j - 1].b + 1)), f -> slice(l, f + 1, if(j = size(__gone), size(l), get(__gone, j).a) - f))[0])), '\\n'))[0]"
     )
-    kept = kept.replace("gone[j].a", "get(gone, j).a")
-    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.expr("aggregate(gone, 0, (s, g) -> s + g.b - g.a + 1)"))
+    removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.expr("aggregate(__gone, 0, (s, g) -> s + g.b - g.a + 1)"))
     counts = {
         "n_lines": F.expr(f"if(text is null, 0, size({_LINES}))").cast("long"),
         "n_chunks": F.expr(f"if(text is null, 0, size({_chunks(every)}))").cast("long"),
         "n_removed": removed.cast("long"),
     }
-    return joined.withColumns(counts | {"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(kept))}).drop("gone")
+    return joined.withColumns(counts | {"text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.expr(kept))}).drop("__gone")
 
 
 def op1_lines(spark, sf_dir):

@@ -18,7 +18,7 @@ from .learn import bounded, documents_text, held_out, training_labels
 from .tables import table
 from .words import Words, joined, lowered, slices, span_hash
 
-BITS, FACTORS, TERMS, Z = 22, 8, 4096, 3.5
+BITS, FACTORS, TERMS, Z = 22, 8, 4096, 4.0
 #: Labelled documents learnt from, at most (chosen by a hash of the id).
 ROWS = 8000
 THRESHOLD = 0.7
