@@ -127,16 +127,16 @@ DIRECTIVES = {
 
 
 def strftime(c, form: str) -> Column:
-    out, i = [], 0
-    while i < len(form):
-        if form[i] == "%" and i + 1 < len(form):
-            if form[i + 1] not in DIRECTIVES:
-                raise ValueError(f"Unknown directive %{form[i + 1]}")
-            out.append(DIRECTIVES[form[i + 1]])
-            i += 2
+    import re
+
+    out = []
+    for directive, text in re.findall(r"%(.)|([^%]+)", form, re.DOTALL):
+        if text:
+            out.append("'" + text.replace("'", "''") + "'")
+        elif directive in DIRECTIVES:
+            out.append(DIRECTIVES[directive])
         else:
-            out.append("''" if form[i] == "'" else f"'{form[i]}'" if form[i].isalpha() else form[i])
-            i += 1
+            raise ValueError(f"Unknown directive %{directive}")
     return F.date_format(_c(c), "".join(out))
 
 

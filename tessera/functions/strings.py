@@ -249,7 +249,8 @@ def join(c, sep: str) -> Column:
 
 
 def join_letters(c, sep: str) -> Column:
-    return F.array_join(F.split(_c(c), "(?!^)"), sep)
+    """``sep`` between all letters of a string."""
+    return F.regexp_replace(_c(c), "(?s)(?<=.)(?=.)", re.sub(r"([\\$])", r"\\\1", sep))
 
 
 def get_dummies(df: DataFrame, c: str, sep: str = "|", tokens: list[str] | None = None) -> DataFrame:
