@@ -1 +1,10 @@
-"""Dataframe-analytics operators as Spark plans."""
+"""Dataframe-analytics operators as Spark plans.
+
+Functions travel to the executors by value, so workers need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

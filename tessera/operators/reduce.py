@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import aggregate, pick
 from ..functions.missing import numeric_columns, value
+from ..plans.ordered import running
 
 
 def _long(df: DataFrame, names: list[str], label: str = "column") -> DataFrame:
@@ -169,16 +170,17 @@ def argext(df: DataFrame, op: str, label: str, order: str | None = None, columns
 def modes(df: DataFrame, columns: list[str], dropna: bool = True) -> DataFrame:
     """All modal values of each column, ascending: ``column, rank, value`` (value as text), ranks from 0.
 
-    Values are counted with partial aggregation; only counts, never rows, are
-    ranked, and the greatest count of a column is an aggregate of its counts.
+    Values are counted with partial aggregation; modal values, which may be as many
+    as the rows, are numbered by ranges of the value, never in one task.
     """
     found = None
     for n in columns:
         c = value(df, n)
         counts = df.select(c.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
         counts = counts.filter("v is not null") if dropna else counts
-        top = counts.join(F.broadcast(counts.agg(F.max("n").alias("n"))), "n").agg(F.sort_array(F.collect_list("v")).alias("all"))
-        one = top.select(F.lit(n).alias("column"), F.posexplode(F.col("all").cast("array<string>")).alias("rank", "value"))
+        top = counts.join(F.broadcast(counts.agg(F.max("n").alias("n"))), "n").select("v")
+        ranked = running(top, ["v"], {"rank": ("count", F.lit(1))})
+        one = ranked.select(F.lit(n).alias("column"), (F.col("rank") - 1).cast("int").alias("rank"), F.col("v").cast("string").alias("value"))
         found = one if found is None else found.union(one)
     return found
 
