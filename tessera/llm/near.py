@@ -5,17 +5,18 @@ Documents become sets of word shingles and 64 minwise tokens.  In each of
 ``BRANCH`` minwise coordinates chosen by the node, a child being one value of
 one coordinate.  With similarity s a pair stays together on one of b choices
 with probability 1-(1-s p)^b, whose fixed point at s = 0.8, b = 2 is p = 0.94 at
-any depth, so five trees miss a pair with probability 1e-6 to 1e-4.  The first
+any depth, so four trees miss a pair of similarity 0.8 with probability 2e-5, closer ones less.  The first
 ``DEPTH`` levels are made at once; deeper ones only where needed.
 
 * A node of at most ``SMALL`` documents is compared exhaustively.
 * In a larger one every document is compared with the node's least one. Nodes
-  whose documents all hang together then need nothing more; where few don't,
-  those are compared with all the node has; else the node branches again, and at
-  depth ``DEEPEST`` all pairs across components are compared.
+  whose documents all hang together then need nothing more; where that leaves
+  ``WORK`` pairs or fewer, documents outside the main component are compared with
+  all the node has, in blocks; else the node branches again, and at depth
+  ``DEEPEST`` the rest is compared that way.
 
-Candidates must pass a size bound (exact) and a 64-bit sketch (whose loss at
-the threshold is below 1e-5) before sets are fetched: each document's set
+Candidates must pass a size bound (exact) and a sketch of two bits per
+coordinate (whose loss at the threshold is about 1e-5) before sets are fetched: each document's set
 travels once to each block of its candidate group, where links are confirmed on
 full sets.  Documents with equal sets are one class and travel as one.
 """
@@ -35,14 +36,18 @@ from .learn import documents_text
 from .tables import cut
 from .words import Words, joined, lowered, mix, seeds, shingle_sets, slices
 
-COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL, GROUP = 64, 5, 2, 3, 8, 40, 400
-#: Sketch bits that may differ: at similarity 0.8 each differs with probability 0.1, so 6.4 of 64 are expected, 21 or more almost never.
-SKETCH = 20
+COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL, GROUP = 64, 4, 2, 3, 8, 40, 400
+#: Pairs of a node (documents outside its main component times all) that are compared rather than branched on.
+WORK = 20_000_000
+#: Document ids that may be broadcast (8 bytes each), after they are counted.
+BROADCAST = 500_000
+#: Sketch bits of 128 that may differ: at similarity 0.8 12.8 do so on average (deviation 4.1).
+SKETCH = 32
 
 
 def _minwise(sets, n):
-    """Matrix of least hashes (documents x coordinates) and a 64-bit sketch of other coordinates' lowest bits."""
-    sig, sketch = np.zeros((len(sets), COORDINATES), dtype=np.uint32), np.zeros(len(sets), dtype=np.uint64)
+    """Matrix of least hashes (documents x coordinates) and a sketch of two other bits of each."""
+    sig, sketch = np.zeros((len(sets), COORDINATES), dtype=np.uint32), np.zeros((2, len(sets)), dtype=np.uint64)
     full = np.flatnonzero(n > 0)
     if len(full):
         flat = np.concatenate([sets[i] for i in full])
@@ -51,7 +56,8 @@ def _minwise(sets, n):
             low = np.minimum.reduceat(mix_cheap(flat, factor), starts)
             low = mix(low + np.uint64(k))
             sig[full, k] = (low >> np.uint64(32)).astype(np.uint32)
-            sketch[full] |= ((low >> np.uint64(7)) & np.uint64(1)) << np.uint64(k)
+            for i in range(2):
+                sketch[i, full] |= ((low >> np.uint64(7 + i)) & np.uint64(1)) << np.uint64(k)
     return sig, sketch
 
 
@@ -68,8 +74,8 @@ def _signatures(n_words):
             sig, sketch = _minwise(sets, n)
             names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(sketch.view(np.int64))],
-                names=["doc_id", "n", "name", "sig", "sketch"],
+                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), *(pa.array(x.view(np.int64)) for x in sketch)],
+                names=["doc_id", "n", "name", "sig", "s0", "s1"],
             )
 
     return run
@@ -102,8 +108,8 @@ def _first_levels(batches):
 
 
 def _rows(piece, node, times):
-    columns = [np.tile(np.asarray(piece.column(c)), times) for c in ("doc", "n", "sketch")]
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *map(pa.array, columns)], names=["node", "doc", "n", "sketch"])
+    columns = [np.tile(np.asarray(piece.column(c)), times) for c in MEMBER]
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *map(pa.array, columns)], names=["node", *MEMBER])
 
 
 def _next_level(level):
@@ -116,33 +122,33 @@ def _next_level(level):
     return run
 
 
-ROW = "node long, doc long, n long, sketch long"
+ROW = "node long, doc long, n long, s0 long, s1 long"
+MEMBER = ("doc", "n", "s0", "s1")
 
 
-def _close(a: str, b: str):
-    """The exact size bound and the sketch bound of a pair."""
-    near = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= SKETCH
-    sizes = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) * 100 >= F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")) * 80
-    return near & sizes
+def _close(a: str, b: str) -> str:
+    """SQL: the exact size bound and the sketch bound of a pair."""
+    bits = f"bit_count({a}.s0 ^ {b}.s0) + bit_count({a}.s1 ^ {b}.s1) <= {SKETCH}"
+    return f"{bits} and least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * 80"
 
 
 def _pairs(frame):
     return frame.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
+def _nodes(rows: DataFrame) -> DataFrame:
+    """Size and least document of each node that has two or more."""
+    least = [F.min("doc").alias("doc"), *[F.min_by(c, "doc").alias(c) for c in MEMBER[1:]]]
+    return rows.groupBy("node").agg(F.count("*").alias("size"), *least).filter("size > 1").select("node", "size", F.struct(*MEMBER).alias("y"))
+
+
+def _candidates(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of small nodes, and each document of a larger one with its least document."""
-    member = F.struct("doc", "n", "sketch")
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(member).alias("y")).filter("size > 1")
-    found = rows.join(nodes, "node")
-    star = found.select(member.alias("x"), "y").filter(F.col("x.doc") != F.col("y.doc"))
-    star = _pairs(star.filter(_close("x", "y")))
-    lists = found.filter((F.col("size") > 2) & (F.col("size") <= SMALL)).groupBy("node").agg(F.sort_array(F.collect_list(member)).alias("all"))
-    each = lists.select(F.explode(F.expr(
-        f"flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, {SMALL}), y -> bit_count(x.sketch ^ y.sketch) <= {SKETCH}"
-        " and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80), y -> struct(x.doc as a, y.doc as b))))"
-    )).alias("p")).select("p.a", "p.b")
-    return star.union(each).distinct()
+    found = rows.select("node", F.struct(*MEMBER).alias("x")).join(nodes, "node")
+    star = _pairs(found.filter("x.doc <> y.doc").filter(_close("x", "y")))
+    lists = found.filter((F.col("size") > 2) & (F.col("size") <= SMALL)).groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("all"))
+    each = F.expr(f"flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, {SMALL}), y -> {_close('x', 'y')}), y -> struct(x.doc as a, y.doc as b))))")
+    return star.union(lists.select(F.explode(each).alias("p")).select("p.a", "p.b")).distinct()
 
 
 def _confirm(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -182,8 +188,7 @@ def _links(docs: DataFrame, pairs: DataFrame, n_words: int, threshold: int) -> D
     right = groups.select(F.col("node").alias("b"), F.col("block").alias("j"))
     tasks = pairs.join(left, "a").join(right, "b")
     tasks = cut(tasks.select(F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "a", "b"))
-    texts = docs.withColumnRenamed("doc_id", "doc").join(groups.select(F.col("node").alias("doc")), "doc", "left_semi")
-    return cut(_confirm(tasks, texts.mapInArrow(_sets(n_words), "doc long, words binary"), threshold))
+    return cut(_confirm(tasks, _wanted_sets(docs, groups.select(F.col("node").alias("doc")), n_words), threshold))
 
 
 def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80) -> DataFrame:
@@ -197,49 +202,118 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
     left as it is, unlinked, with a null component.
     """
     docs = documents_text(documents)
-    signed = cut(docs.mapInArrow(_signatures(n_words), "doc_id long, n long, name binary, sig binary, sketch long"))
+    signed = cut(docs.mapInArrow(_signatures(n_words), "doc_id long, n long, name binary, sig binary, s0 long, s1 long"))
     full = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = cut(full.groupBy("name").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig")))
-    rows = classes.select("doc", "n", "sketch", "sig").mapInArrow(_first_levels, ROW)
-    pairs = cut(_candidates(rows))
+    classes = cut(full.groupBy("name").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "sig")]))
+    rows = classes.select(*MEMBER, "sig").mapInArrow(_first_levels, ROW)
+    nodes = cut(_nodes(rows))
+    pairs = cut(_candidates(rows, nodes))
     links = _links(docs, pairs, n_words, threshold)
     groups = cut(components(links))
     for level in range(DEPTH, DEEPEST + 1):
-        rows, more = _unsettled(rows, groups, level == DEEPEST)
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        if more.count():
-            pairs = pairs.union(more)
-            links = links.union(_links(docs, more, n_words, threshold))
+        large = nodes.filter(F.col("size") > SMALL).select("node")
+        again, stuck = _unsettled(rows.join(large, "node"), groups, level == DEEPEST)
+        stuck = cut(stuck)
+        more, settled = None, stuck.isEmpty()
+        if not settled:
+            links = links.union(_exhaustive(docs, stuck, n_words, threshold))
+        if level < DEEPEST:
+            sigs = again.join(classes.select("doc", "sig"), "doc").select("node", *MEMBER, "sig")
+            rows = cut(sigs.mapInArrow(_next_level(level), ROW))
+            if not rows.isEmpty():
+                nodes = cut(_nodes(rows))
+                more = cut(_candidates(rows, nodes).join(pairs, ["a", "b"], "left_anti"))
+                pairs = pairs.union(more)
+                links = links.union(_links(docs, more, n_words, threshold))
+        if more is not None or not settled:
             groups = cut(components(links))
-        rows = cut(rows.join(classes.select("doc", "sig"), "doc").select("node", "doc", "n", "sketch", "sig").mapInArrow(_next_level(level), ROW)) if level < DEEPEST else rows
-        if level == DEEPEST or rows.isEmpty():
+        if more is None:
             break
-        more = cut(_candidates(rows).join(pairs, ["a", "b"], "left_anti"))
-        if more.count():
-            pairs = pairs.union(more)
-            links = links.union(_links(docs, more, n_words, threshold))
-            groups = cut(components(links))
     top = classes.join(groups, classes["doc"] == groups["node"], "left").select("name", F.coalesce("component", "doc").alias("component"))
     empty = F.col("n") == 0
     found = signed.select("doc_id", "n", F.when(~empty, F.col("name")).alias("name")).join(top, "name", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    component = F.coalesce("component", "doc_id")
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _unsettled(rows: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows of large nodes that must branch again, and candidate pairs of those that end here."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL)
-    large = rows.join(sizes, "node").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    main = large.groupBy("node").agg(F.min("component").alias("main"), F.max("component").alias("other")).filter("main < other")
-    large = cut(large.join(main.select("node", "main"), "node"))
-    apart = large.filter(F.col("component") != F.col("main"))
-    counted = apart.groupBy("node").agg(F.count("*").alias("apart"))
-    ends = counted if last else counted.filter(F.col("apart") <= SMALL)
-    member = F.struct("doc", "n", "sketch")
-    x = apart.join(ends.select("node"), "node", "left_semi").select("node", member.alias("x"), F.col("component").alias("cx"))
-    y = large.select("node", member.alias("y"), F.col("component").alias("cy"))
-    pairs = _pairs(x.join(y, "node").filter((F.col("cx") != F.col("cy")) & _close("x", "y"))).distinct()
-    again = large.join(counted.filter(F.col("apart") > SMALL).select("node"), "node", "left_semi")
-    return again.select("node", "doc", "n", "sketch"), pairs
+    """Rows of large nodes that must branch again, and (node, doc, apart) of those that end here.
+
+    ``apart`` marks documents outside the node's main component: every pair that
+    could still join two components has one of them.
+    """
+    large = rows.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    large = cut(large)
+    ends = large.groupBy("node").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count("*").alias("size")).filter("main < other")
+    large = large.join(ends.select("node", "main", "size"), "node").withColumn("apart", F.col("component") != F.col("main"))
+    work = large.filter("apart").groupBy("node").agg((F.count("*") * F.max("size")).alias("work"))
+    large = large.join(work, "node")
+    stop = F.lit(True) if last else F.col("work") <= WORK
+    return large.filter(~stop).select("node", *MEMBER), large.filter(stop).select("node", "doc", "apart")
+
+
+def _exhaust(threshold: int):
+    """All pairs of a block of set-apart documents and a block of all; of the links a spanning forest, which keeps components."""
+
+    def run(pdf):
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sides, common = [], np.zeros((len(left), len(right)), dtype=np.int32)
+        for part in (left, right):
+            sets = [np.frombuffer(w, dtype=np.uint64) for w in part["words"]]
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(flat, kind="stable")
+            value, start = np.unique(flat[order], return_index=True)
+            sides.append((value, np.append(start, len(flat)), owner[order], np.array([len(x) for x in sets])))
+        (v, vs, vo, vn), (w, ws, wo, wn) = sides
+        for i, j in zip(*np.intersect1d(v, w, return_indices=True)[1:], strict=True):
+            common[np.ix_(vo[vs[i] : vs[i + 1]], wo[ws[j] : ws[j + 1]])] += 1
+        x, y = np.nonzero(100 * common >= threshold * (vn[:, None] + wn - common))
+        parent, out = {}, []
+
+        def find(d):
+            while parent.setdefault(d, d) != d:
+                parent[d] = parent[parent[d]]
+                d = parent[d]
+            return d
+
+        for a, b in zip(left["doc"].to_numpy()[x].tolist(), right["doc"].to_numpy()[y].tolist(), strict=True):
+            one, two = find(a), find(b)
+            if one != two:
+                parent[max(one, two)] = min(one, two)
+                out.append((min(a, b), max(a, b)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _exhaustive(docs: DataFrame, stuck: DataFrame, n_words: int, threshold: int) -> DataFrame:
+    """Links that join components within the stuck nodes: blocks of about ``GROUP`` documents meet in tasks of bounded size, and no pair is listed that isn't a link.
+
+    Nodes that share documents form one group, so a pair is compared once however many nodes hold it.
+    """
+    stars = stuck.groupBy("node").agg(F.min("doc").alias("b"))
+    groups = components(stuck.join(stars, "node").select(F.col("doc").alias("a"), "b")).withColumnRenamed("node", "doc")
+    members = cut(groups.join(stuck.groupBy("doc").agg(F.bool_or("apart").alias("apart")), "doc"))
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("all"), F.ceil(F.count_if("apart") / GROUP).cast("int").alias("some"))
+    members = members.join(sizes, "component")
+    block = lambda n: F.pmod(F.xxhash64("doc", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.filter("apart").select("doc", "component", F.lit(0).alias("side"), block("some").alias("i"), every("all").alias("j"))
+    right = members.select("doc", "component", F.lit(1).alias("side"), block("all").alias("j"), every("some").alias("i"))
+    tasks = left.unionByName(right).select("doc", "side", F.xxhash64("component", "i", "j").alias("task"))
+    shipped = tasks.join(_wanted_sets(docs, members.select("doc"), n_words), "doc")
+    return cut(shipped.groupBy("task").applyInPandas(_exhaust(threshold), "a long, b long").distinct())
+
+
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
+    """Sets of the wanted documents. Their ids are broadcast where a count shows that they are few enough; otherwise texts are dealt out by id."""
+    wanted = wanted.distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    texts = docs.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi")
+    return texts.mapInArrow(_sets(n_words), "doc long, words binary")
 
 
 def op2_near(spark, sf_dir):
