@@ -36,7 +36,7 @@ from .learn import documents_text
 from .tables import cut
 from .words import Words, joined, lowered, mix, seeds, shingle_sets, slices
 
-COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL, GROUP = 64, 4, 2, 3, 8, 40, 400
+COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL, GROUP = 64, 4, 2, 3, 8, 40, 1500
 #: Pairs of a node (documents outside its main component times all) that are compared rather than branched on.
 WORK = 20_000_000
 #: Document ids that may be broadcast (8 bytes each), after they are counted.
