@@ -23,8 +23,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated multi-line chunks from the texts; a document stays, with fewer lines."""
-    found = lines.dedup_lines(docs)
+    """Cut repeated passages of two or more lines from the texts; a document stays, with fewer lines."""
+    found = lines.dedup_lines(docs, whole=True)
     return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

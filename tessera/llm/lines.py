@@ -14,7 +14,7 @@ may be in any share of the documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .learn import documents_text
@@ -36,26 +36,48 @@ def _chunks(every: int) -> str:
     return f"transform(array(named_struct('lines', {_LINES}, 'ends', {ends})), s -> transform(s.ends, (e, k) -> {one}))[0]"
 
 
-def dedup_lines(documents: DataFrame, every: int = EVERY) -> DataFrame:
+def _windows() -> str:
+    """SQL: (a, b, hash) of each line of ``text`` that isn't blank and the next such line, with the blank ones between."""
+    at = "filter(sequence(0, size(lines) - 1), i -> trim(both ' \\t\\r' from lines[i]) <> '')"
+    one = "named_struct('a', a, 'b', s.at[j + 1], 'hash', xxhash64(array_join(slice(s.lines, a + 1, s.at[j + 1] - a + 1), '\\n')))"
+    bound = f"transform(array({_LINES}), lines -> named_struct('lines', lines, 'at', {at}))"
+    return f"transform({bound}, s -> transform(slice(s.at, 1, greatest(size(s.at) - 1, 0)), (a, j) -> {one}))[0]"
+
+
+def _merged(gone: DataFrame) -> DataFrame:
+    """Ranges (doc_id, a, b), those of a document that touch or overlap made one."""
+    each = Window.partitionBy("doc_id").orderBy("a", "b")
+    before = F.max("b").over(each.rowsBetween(Window.unboundedPreceding, -1))
+    starts = gone.withColumn("new", F.coalesce(F.col("a") > before + 1, F.lit(True)).cast("int"))
+    ranges = starts.withColumn("range", F.sum("new").over(each.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranges.groupBy("doc_id", "range").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+
+
+def dedup_lines(documents: DataFrame, every: int = EVERY, whole: bool = False) -> DataFrame:
     """The rows of ``documents`` with repeated multi-line chunks cut from ``text``, and ``n_lines, n_chunks, n_removed``.
 
     Lines are parts between line feeds; a null text has none and stays null, an
     empty one has one.  Removed lines go with their line feed.  Rows with a null
     id are left as they are; rows that repeat an id count as one document.
+    ``whole`` cuts every repeated passage of two or more lines that aren't blank,
+    not only chunks; a repeat that overlaps its first occurrence stays.
     """
     text = documents_text(documents).filter("doc_id is not null")
-    found = text.select("doc_id", F.expr(_chunks(every)).alias("chunks"))
-    each = found.select("doc_id", F.explode("chunks").alias("c")).filter("c.b > c.a").select("doc_id", "c.*")
-    each = cut(each)
-    first = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("first")).filter("n > 1").select("hash", "first")
-    again = each.join(first, "hash").withColumn("is_first", (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.k") == F.col("k")))
-    wanted = again.groupBy("doc_id").agg(F.collect_set(F.struct("k", "a", "b", "hash", "is_first")).alias("wanted"))
+    pieces = f"transform(filter({_chunks(every)}, c -> c.b > c.a), c -> named_struct('a', c.a, 'b', c.b, 'hash', c.hash))"
+    found = text.select("doc_id", F.expr(f"concat({pieces}, {_windows()})" if whole else pieces).alias("pieces"))
+    each = cut(found.select("doc_id", F.explode("pieces").alias("c")).select("doc_id", "c.*"))
+    first = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "b")).alias("first")).filter("n > 1").select("hash", "first")
+    again = each.join(first, "hash").withColumn("is_first", (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.a") == F.col("a")))
+    if whole:
+        again = again.filter(F.col("is_first") | (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.b") < F.col("a")))
+    wanted = again.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "hash", "is_first")).alias("wanted"))
     bodies = text.join(wanted, "doc_id").select(
         "doc_id",
-        F.explode(F.expr(f"transform(array({_LINES}), l -> transform(wanted, c -> named_struct('k', c.k, 'a', c.a, 'b', c.b, 'hash', c.hash, 'is_first', c.is_first, 'body', array_join(slice(l, c.a + 1, c.b - c.a + 1), '\\n'))))[0]")).alias("c"),
+        F.explode(F.expr(f"transform(array({_LINES}), l -> transform(wanted, c -> named_struct('a', c.a, 'b', c.b, 'hash', c.hash, 'is_first', c.is_first, 'body', array_join(slice(l, c.a + 1, c.b - c.a + 1), '\\n'))))[0]")).alias("c"),
     ).select("doc_id", "c.*")
     firsts = bodies.filter("is_first").select("hash", F.col("body").alias("same")).dropDuplicates(["hash"])
-    gone = bodies.filter("not is_first").join(firsts, "hash").filter("body = same")
+    gone = bodies.filter("not is_first").join(firsts, "hash").filter("body = same").select("doc_id", "a", "b")
+    gone = _merged(gone) if whole else gone
     gone = gone.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__gone"))
     joined = documents.join(gone, documents["doc_id"].cast("long") == F.col("__gone_id"), "left").drop("__gone_id")
     kept = (

@@ -83,6 +83,58 @@ def test_line_dedup_null_ids_and_empty_table(spark, make):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def passages_cut(texts):
+    """Texts without the windows of two lines that aren't blank which an earlier window repeats, and without repeated chunks."""
+    seen, want = {}, {}
+    for i, t in enumerate(texts):
+        ls, gone = (t or "").split("\n"), set()
+        at = [k for k, x in enumerate(ls) if x.strip(" \t\r")]
+        pieces, k = list(zip(at, at[1:])), 0
+        for c in chunks_of(t or ""):
+            pieces += [(k, k + len(c) - 1)] if len(c) > 1 else []
+            k += len(c)
+        for a, b in sorted(pieces):
+            d, _, e = seen.setdefault("\n".join(ls[a : b + 1]), (i, a, b))
+            if (d, e) != (i, b) and (d < i or e < a):
+                gone.update(range(a, b + 1))
+        want[i] = None if t is None else "\n".join(x for k, x in enumerate(ls) if k not in gone)
+    return want
+
+
+def test_line_dedup_cuts_whole_passages(make):
+    """Planted passages of 2 to 7 lines in other surroundings go whole, whatever stands before them."""
+    rng, plain = np.random.default_rng(7), {}
+    texts = []
+    for i in range(60):
+        n = 2 + i % 6
+        passage = [f"passage {i} line {k}" for k in range(n)]
+        if i % 4 == 0:
+            passage.insert(1, "")
+        own = [[f"own {i} {side} {k}" for k in range(rng.integers(1, 6))] for side in range(4)]
+        texts += ["\n".join(own[0] + passage + own[1]), "\n".join(own[2] + passage + own[3])]
+        plain[2 * i + 1] = "\n".join(own[2] + own[3])
+    edges = ["a\na\na\na\na", "x\ny\nx\ny\nx", "p\n\nq", "r\n\np\n\nq\n", "one\n\ntwo", "one\n\nthree", None, "", "\n\n\n", "\n\n\n", texts[0], " \t\n\r\n"]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(make(texts + edges), whole=True).collect()}
+    assert all(got[i]["text"] == t for i, t in plain.items())
+    assert all(got[i]["text"] == texts[i] for i in range(0, len(texts), 2))
+    assert {i: r["text"] for i, r in got.items()} == passages_cut(texts + edges)
+    assert [got[len(texts) + i]["text"] for i in (0, 1, 3, 5)] == ["a\na", "x\ny", "r\n\n", "one\n\nthree"]
+    assert got[1]["n_removed"] == 3 and got[1]["source"] == "s"
+
+
+def test_pipeline_cuts_whole_passages(spark, make):
+    import corpus_pipeline
+
+    docs = make(["a one\nb two\nc three", "d four\nb two\nc three\ne five"])
+    got = {r["doc_id"]: r for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    assert got[0]["text"] == "a one\nb two\nc three" and got[1]["text"] == "d four\ne five" and got[1]["n_chars"] == 13
+
+
+def test_line_dedup_whole_on_documents(make, real):
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(make(real), whole=True).collect()}
+    assert got == passages_cut(real)
+
+
 def shingles(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
