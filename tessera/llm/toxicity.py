@@ -1,10 +1,12 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms are lower-cased words and the first four bytes of longer ones, hashed to
-``2**BITS`` places.  Places whose presence differs between the classes (by a
-z-score of their document frequencies) enter a second-order factorization
-machine: a bias, a weight a term, and the inner product of two terms' vectors
-for each pair that occurs together.
+``2**BITS`` places.  Places in ``FLOOR`` documents or more whose presence tells
+the classes apart (by the likelihood ratio of their document counts, which holds
+where a count is zero) enter a second-order factorization machine: a bias, a
+weight a term, and the inner product of two terms' vectors for each pair that
+occurs together.  So do both places of a pair that tells them apart only when
+both occur, looked for among the ``PAIRED`` most frequent.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ from .learn import bounded, documents_text, held_out, training_labels
 from .tables import table
 from .words import Words, joined, lowered, slices, span_hash
 
-BITS, FACTORS, TERMS, Z = 22, 8, 4096, 4.0
+BITS, FACTORS, TERMS = 22, 8, 4096
+#: Documents a term must occur in, the least likelihood ratio (chi-square of one degree) of a term, and of a pair among millions.
+FLOOR, RATIO, PAIR_RATIO = 3, 8.0, 40.0
+#: Most frequent terms whose pairs are counted.
+PAIRED = 2000
 #: Labelled documents learnt from, at most (chosen by a hash of the id).
 ROWS = 8000
 THRESHOLD = 0.7
@@ -85,17 +91,46 @@ class Machine:
         return self
 
 
+def _gain(seen, expected):
+    """``seen * log(seen / expected)``, 0 where nothing is seen."""
+    return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+
+def interacting(code, doc, label, all_, one):
+    """Numbers of terms in pairs whose toxic share differs from what the odds of both terms give. ``all_``, ``one``: documents, toxic ones of each term."""
+    often = np.sort(np.argsort(-all_, kind="stable")[:PAIRED])
+    often = often[all_[often] >= FLOOR]
+    at = np.full(len(all_), -1)
+    at[often] = np.arange(len(often))
+    found = at[code] >= 0
+    has = np.zeros((len(label), len(often)), dtype=np.float32)
+    has[doc[found], at[code[found]]] = 1
+    n, n1 = len(label), label.sum()
+    base = np.log((n1 + 0.5) / (n - n1 + 0.5))
+    odds = np.log((one[often] + 0.5) / (all_[often] - one[often] + 0.5)) - base
+    toxic, good = has[label > 0], np.zeros(len(often), dtype=bool)
+    for i in range(0, len(often), 250):
+        both, bad = (has[:, i : i + 250].T @ has).astype(float), (toxic[:, i : i + 250].T @ toxic).astype(float)
+        expected = both / (1 + np.exp(-np.clip(base + odds[i : i + 250, None] + odds, -30, 30)))
+        ratio = 2 * (_gain(bad, expected) + _gain(both - bad, both - expected))
+        # a pair that always occurs together is one term counted twice
+        apart = both < 0.9 * np.minimum(all_[often][i : i + 250, None], all_[often])
+        x, y = np.nonzero((ratio >= PAIR_RATIO) & apart & (both >= FLOOR))
+        good[x + i] = good[y] = True
+    return often[good]
+
+
 def screen(doc, term, label):
-    """Places whose document frequency differs between the classes by ``Z`` standard errors, the ``TERMS`` strongest."""
+    """Places that tell the classes apart alone, the ``TERMS`` strongest, and those that do in pairs."""
     place, code = np.unique(term, return_inverse=True)
-    n1, n0 = max(label.sum(), 1), max((1 - label).sum(), 1)
+    n, n1 = len(label), label.sum()
+    all_ = np.bincount(code, minlength=len(place)).astype(float)
     one = np.bincount(code, weights=label[doc], minlength=len(place))
-    zero = np.bincount(code, weights=1 - label[doc], minlength=len(place))
-    odds = np.log((one + 0.5) / (n1 - one + 0.5)) - np.log((zero + 0.5) / (n0 - zero + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / (one + 0.5) + 1 / (n1 - one + 0.5) + 1 / (zero + 0.5) + 1 / (n0 - zero + 0.5))
-    keep = np.flatnonzero((one + zero >= 5) & (z >= Z))
-    keep = keep[np.argsort(-z[keep], kind="stable")[:TERMS]]
-    return np.sort(place[keep])
+    share = n1 / n
+    ratio = 2 * (_gain(one, all_ * share) + _gain(all_ - one, all_ * (1 - share)) + _gain(n1 - one, (n - all_) * share) + _gain(n - all_ - n1 + one, (n - all_) * (1 - share)))
+    keep = np.flatnonzero((all_ >= FLOOR) & (ratio >= RATIO))
+    keep = keep[np.argsort(-ratio[keep], kind="stable")[:TERMS]]
+    return place[np.union1d(keep, interacting(code, doc, label, all_, one))]
 
 
 def _terms(batches):

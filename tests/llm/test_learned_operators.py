@@ -73,6 +73,33 @@ def test_toxicity(spark, labels, make):
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, marked.limit(0))).collect()} == {0.5}
 
 
+def test_toxicity_finds_held_out_toxic_documents(spark, labels):
+    rows = queries.QUERIES["op5_toxicity"](spark, SF).collect()
+    toxic = [r["predicted"] for r in rows if r["held_out"] and r["doc_id"] in labels and labels[r["doc_id"]]["toxic"] == 1]
+    assert len(toxic) >= 15 and np.mean(toxic) > 0.6
+
+
+@pytest.mark.parametrize("n", [300, 2600, 8000])
+def test_rare_terms_of_toxic_documents_pass_the_screen(n):
+    """A term in five toxic documents and no clean one is kept at every sample size, one in all alike isn't."""
+    label = (np.arange(n) % 9 == 0).astype(float)
+    rare, even = np.flatnonzero(label)[:5], np.arange(n)
+    doc, term = np.concatenate((rare, even)), np.concatenate((np.full(5, 77), np.full(n, 5)))
+    assert toxicity.screen(doc, term, label).tolist() == [77]
+
+
+def test_toxicity_learns_a_pair_through_train(spark, make):
+    """Toxic is one of two words without the other; neither tells anything alone."""
+    rng = np.random.default_rng(4)
+    bits, noise = rng.integers(0, 2, (900, 2)), rng.integers(0, 300, (900, 12))
+    texts = [" ".join(["north"] * b[0] + ["south"] * b[1] + [f"w{x}" for x in w]) for b, w in zip(bits, noise, strict=True)]
+    docs, toxic = make(texts), bits[:, 0] ^ bits[:, 1]
+    marked = spark.createDataFrame([(i, int(x)) for i, x in enumerate(toxic)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, marked)).collect()}
+    held = [i for i in got if fold(i, 3) == 1]
+    assert len(held) > 200 and np.mean([(got[i] >= 0.7) == toxic[i] for i in held]) > 0.9
+
+
 def test_factorization_machine_learns_a_pair():
     """Each word alone is harmless, both together aren't: no additive weights separate that."""
     rng = np.random.default_rng(1)
