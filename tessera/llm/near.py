@@ -5,7 +5,9 @@ Documents become sets of word shingles and 64 minwise tokens.  In each of
 ``BRANCH`` minwise coordinates chosen by the node, a child being one value of
 one coordinate.  With similarity s a pair stays together on one of b choices
 with probability 1-(1-s p)^b, whose fixed point at s = 0.8, b = 2 is p = 0.94 at
-any depth, so four trees miss a pair of similarity 0.8 with probability 2e-5, closer ones less.  The first
+any depth.  All trees draw from the same coordinates, so their misses go together:
+averaged over how many coordinates agree, five trees miss a pair of similarity 0.8
+with probability 1.2e-5 at depth 3 and 3.2e-5 at depth 8, closer ones less.  The first
 ``DEPTH`` levels are made at once; deeper ones only where needed.
 
 * A node of at most ``SMALL`` documents is compared exhaustively.
@@ -36,7 +38,7 @@ from .learn import documents_text
 from .tables import cut
 from .words import Words, joined, lowered, mix, seeds, shingle_sets, slices
 
-COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL, GROUP = 64, 4, 2, 3, 8, 40, 1500
+COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL, GROUP = 64, 5, 2, 3, 8, 40, 1500
 #: Pairs of a node (documents outside its main component times all) that are compared rather than branched on.
 WORK = 20_000_000
 #: Document ids that may be broadcast (8 bytes each), after they are counted.

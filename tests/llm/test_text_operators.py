@@ -184,6 +184,20 @@ def test_near_duplicates_branch_and_settle(make, monkeypatch):
     assert got == components_by_force(texts, 2)
 
 
+def test_near_trees_lose_few_pairs_at_the_threshold():
+    """Trees share their coordinates: the loss is averaged over how many of them agree."""
+    from math import comb
+
+    def miss(agree, depth):
+        together = 1.0
+        for _ in range(depth):
+            together = 1 - (1 - agree / near.COORDINATES * together) ** near.BRANCH
+        return (1 - together) ** near.TREES
+
+    for depth, most in ((near.DEPTH, 1.5e-5), (near.DEEPEST, 4e-5)):
+        assert sum(comb(near.COORDINATES, k) * 0.8**k * 0.2 ** (near.COORDINATES - k) * miss(k, depth) for k in range(near.COORDINATES + 1)) < most
+
+
 def test_near_duplicates_empty_and_null(make):
     docs = make([None, "", "a b c", "a b c"])
     got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near.near_duplicates(docs).collect())
