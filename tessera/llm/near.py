@@ -201,8 +201,11 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
     words is its whole sequence; null or empty texts have an empty set and are
     linked with nothing.  ``component_id`` is the least id reachable, ``kept``
     whether it is the document's own.  Ids are distinct longs; a null id is
-    left as it is, unlinked, with a null component.
+    left as it is, unlinked, with a null component.  The bounds before the
+    confirmation hold for ``threshold`` of 80 or more; a lower one is an error.
     """
+    if threshold < 80:
+        raise ValueError(f"threshold must be at least 80: {threshold}")
     docs = documents_text(documents)
     signed = cut(docs.mapInArrow(_signatures(n_words), "doc_id long, n long, name binary, sig binary, s0 long, s1 long"))
     full = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())

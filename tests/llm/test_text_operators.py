@@ -184,6 +184,12 @@ def test_near_duplicates_branch_and_settle(make, monkeypatch):
     assert got == components_by_force(texts, 2)
 
 
+@pytest.mark.parametrize("threshold", [0, 60, 79])
+def test_near_duplicates_reject_low_thresholds(make, threshold):
+    with pytest.raises(ValueError, match="threshold"):
+        near.near_duplicates(make(["a b c"]), threshold=threshold)
+
+
 def test_near_trees_lose_few_pairs_at_the_threshold():
     """Trees share their coordinates: the loss is averaged over how many of them agree."""
     from math import comb
