@@ -36,8 +36,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a window of a benchmark item."""
-    found = decontaminate.contaminated_spans(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter(F.size("runs") > 0).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,31 +1,34 @@
 """Benchmark decontamination by winnowing.
 
 Every window of ``WINDOW`` benchmark words keeps the least hash of the
-``KGRAM``-grams inside it.  A document window with the same words keeps the
-same hash, so joining kept hashes finds every shared span of ``WINDOW`` words;
-each hit is then extended to the full window by two independent 64-bit hashes
-of all its words.  Items of fewer words form one window of their own length.
-
-The benchmark side is handed to the executors in blocks of at most
-``BLOCK`` windows, so a worker's memory has a bound however large the benchmark
-is; documents are scanned once per block and hits are merged per document.
+``KGRAM``-grams inside it, its fingerprint.  A document window with the same
+words has the same fingerprint, so joining fingerprints finds every shared span
+of ``WINDOW`` words; each hit is then extended to the full window by two
+independent 64-bit hashes of all its words.  Items of fewer words form one
+window of their own length, which is its own fingerprint.
+
+Both sides are tables dealt by hash.  Only a bitmap of the benchmark's
+fingerprints, of ``MOST_BITS`` bits at most, goes to the executors: it keeps
+document windows that can't meet any from being dealt out.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .learn import documents_text
+from .tables import cut, opened, share, table
 from .words import Words, grams, joined, least, lowered, row_grams, slices
 
-WINDOW, KGRAM, BLOCK = 10, 5, 1_000_000
-BITS = 20
+WINDOW, KGRAM = 10, 5
+#: Bits of the bitmap a fingerprint, and the least and most bits in all, as powers of two; a byte row packs 2**15.
+BITS, LEAST_BITS, MOST_BITS, ROW = 16, 16, 26, 15
 
 
 def _item_windows(window: int, kgram: int):
@@ -43,7 +46,7 @@ def _item_windows(window: int, kgram: int):
             if out:
                 size, one, two, kept, item = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(size, pa.int32()), *(pa.array(x.view(np.int64)) for x in (one, two, kept)), pa.array(item, pa.int64())],
+                    [pa.array(size, pa.int64()), *(pa.array(x.view(np.int64)) for x in (one, two, kept)), pa.array(item, pa.int64())],
                     names=["size", "one", "two", "kept", "item_id"],
                 )
 
@@ -55,134 +58,115 @@ def _lower(texts):
     return lowered(buffer), offsets
 
 
-class Index:
-    """Windows of one benchmark block, by length: sorted by hash, with the items of each distinct window."""
-
-    def __init__(self, frame):
-        self.by_size = {}
-        for size, part in frame.groupby("size"):
-            one, two, kept = (part[c].to_numpy().view(np.uint64) for c in ("one", "two", "kept"))
-            item = part["item_id"].to_numpy()
-            order = np.lexsort((item, two, one))
-            one, two, item = one[order], two[order], item[order]
-            new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            bitmap = np.zeros(1 << BITS, dtype=bool)
-            bitmap[kept >> np.uint64(64 - BITS)] = True
-            self.by_size[int(size)] = (one[new], two[new], np.append(np.flatnonzero(new), len(item)), item, np.unique(kept), bitmap)
-
-    def hits(self, words: Words, window: int, kgram: int):
-        """(word position, window length, item slice) of all windows that occur."""
-        for size, (one, two, cut_at, item, kept, bitmap) in self.by_size.items():
-            if len(words.hash) < size:
-                continue
-            mine = least(grams(words.hash, kgram, 33), size - kgram + 1) if size == window else grams(words.hash, size, 31)
-            at = np.flatnonzero(bitmap[mine >> np.uint64(64 - BITS)] & words.windows(size)[: len(mine)])
-            at = at[_within(mine[at], kept)]
-            if not len(at):
-                continue
-            spans = words.hash[at[:, None] + np.arange(size)]
-            first, second = (row_grams(spans, salt) for salt in (31, 32))
-            low, high = np.searchsorted(one, first, "left"), np.searchsorted(one, first, "right")
-            for step in range(int((high - low).max(initial=0))):
-                place = low + step
-                good = place < high
-                good[good] &= two[place[good]] == second[good]
-                yield at[good], size, cut_at[place[good]], cut_at[place[good] + 1], item
-
-
-def _within(values, known):
-    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return known[place] == values
-
-
-def _scan(index: Index, window: int, kgram: int):
+def _packed(pdf):
+    bits = np.zeros(1 << ROW, dtype=bool)
+    bits[pdf["place"].to_numpy() & ((1 << ROW) - 1)] = True
+    return pd.DataFrame({"row": pdf["row"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def _bitmap(items: DataFrame, bits: int | None) -> tuple[int, np.ndarray]:
+    """Bits, as a power of two, and the bitmap over the leading bits of all fingerprints; rows of it are packed by executors."""
+    known = items.select("kept").distinct()
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, known.count()) * BITS))))
+    known = known.select(F.shiftrightunsigned("kept", 64 - bits).alias("place")).distinct().withColumn("row", F.shiftright("place", ROW))
+    out = np.zeros(((1 << max(bits, ROW)) + 7) // 8, dtype=np.uint8)
+    for r in known.groupBy("row").applyInPandas(_packed, "row long, bits binary").toLocalIterator():
+        at = r["row"] << (ROW - 3)
+        out[at : at + (1 << (ROW - 3))] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits, out
+
+
+def _scan(shared, window: int, kgram: int):
+    """Number of words of each text, and its windows whose fingerprints the bitmap has."""
+
     def run(batches):
+        sizes, bits, bitmap = opened(shared)
+        shift = np.uint64(64 - bits)
         for piece in slices(batches):
             words = Words(*_lower(piece.column("text")), "alnum")
-            doc = words.doc()
-            cover, pairs = np.zeros(len(words.start) + 1, dtype=np.int64), []
-            for at, size, low, high, item in index.hits(words, window, kgram):
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + size, -1)
-                distinct = np.unique(np.stack((doc[at], low, high)), axis=1)
-                for d, a, b in distinct.T:
-                    pairs.append((np.full(b - a, d), item[a:b]))
-            edge = np.diff((np.cumsum(cover[:-1]) > 0).astype(np.int8), prepend=0, append=0)
-            run_at, run_to = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            items, runs = [[] for _ in range(len(piece))], [[] for _ in range(len(piece))]
-            if pairs:
-                for d, x in np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)]), axis=1).T:
-                    items[d].append(int(x))
-            for a, b in zip(run_at, run_to, strict=True):
-                while a < b:
-                    d = doc[a]
-                    to = min(b, words.first[d + 1])
-                    runs[d] += [int(a - words.first[d]), int(to - words.first[d])]
-                    a = to
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(words.count, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "runs", "items"],
-            )
+            parts = []
+            for size in sizes:
+                if len(words.hash) < size:
+                    continue
+                mine = least(grams(words.hash, kgram, 33), size - kgram + 1) if size == window else grams(words.hash, size, 31)
+                place = mine >> shift
+                at = np.flatnonzero(((bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0) & words.windows(size)[: len(mine)])
+                spans = words.hash[at[:, None] + np.arange(size)]
+                parts.append((at, np.full(len(at), size), mine[at].view(np.int64), *(row_grams(spans, salt).view(np.int64) for salt in (31, 32))))
+            at, *columns = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 5
+            order = np.argsort(at, kind="stable")
+            at, doc = at[order], np.searchsorted(words.first, at[order], side="right") - 1
+            ends = np.searchsorted(doc, np.arange(len(piece) + 1))
+            hits = pa.StructArray.from_arrays([pa.array(at - words.first[doc]), *(pa.array(c[order]) for c in columns)], names=["at", "size", "kept", "one", "two"])
+            columns = [piece.column(c) for c in ("doc_id", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words.count, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)], names=["doc_id", "k1", "k2", "n_words", "hits"])
 
     return run
 
 
+def _keyed(documents: DataFrame, one: str, two: str) -> DataFrame:
+    """Two hashes of id and text: rows that have both in common have the same hits."""
+    return documents.withColumn(one, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn(two, F.xxhash64(F.col("text").cast("string"), F.col("doc_id").cast("long"), F.lit(7)))
 
 
-def contaminated_spans(
-    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, kgram: int = KGRAM, block: int = BLOCK
-) -> DataFrame:
-    """One row per document: ``doc_id, n_words, runs, items``.
+def _search(documents: DataFrame, benchmark: DataFrame, window: int, kgram: int, bits: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, k1, k2, n_words), the windows found (k1, k2, at, size, one, two), and the items' windows."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = cut(items.mapInArrow(_item_windows(window, kgram), "size long, one long, two long, kept long, item_id long").distinct())
+    windows = cut(items.select("kept", "size", "one", "two").distinct())
+    # a window has at most ``window`` words, so there are no more sizes
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    shared = share(documents.sparkSession, (sizes, *_bitmap(windows, bits)))
+    schema = "doc_id long, k1 long, k2 long, n_words long, hits array<struct<at:long,size:long,kept:long,one:long,two:long>>"
+    rows = cut(_keyed(documents_text(documents), "k1", "k2").mapInArrow(_scan(shared, window, kgram), schema))
+    hits = rows.select("k1", "k2", F.explode("hits").alias("h")).select("k1", "k2", "h.*")
+    found = cut(hits.join(windows, ["kept", "size", "one", "two"]).select("k1", "k2", "at", "size", "one", "two"))
+    return rows.drop("hits"), found, items
+
+
+def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, kgram: int = KGRAM, bits: int | None = None) -> DataFrame:
+    """One row per row of ``documents``: ``doc_id, n_words, runs, items``.
 
     ``runs`` holds word positions start, end, start, end ... covered by benchmark
     windows, ``items`` the ids of the items they belong to.  Null and empty texts
     have no words and no hits; benchmark rows without text or id are ignored;
-    repeated items count each.  Documents must have distinct ids.
+    repeated items count each.  Each row of ``documents`` has its own hits, also
+    where ids are null or repeated; long texts are searched whole.  ``bits`` sets
+    the size of the bitmap, which changes no result.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = cut(items.mapInArrow(_item_windows(window, kgram), "size int, one long, two long, kept long, item_id long"))
-    blocks = max(1, math.ceil(items.count() / block))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_words long, runs array<long>, items array<long>"
-    found = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("one"), F.lit(blocks)) == k)
-        one = docs.mapInArrow(_scan(Index(part.toPandas()), window, kgram), schema)
-        found = one if found is None else found.unionByName(one)
-    if blocks == 1:
-        return found
-    merged = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.collect_list("runs").alias("lists"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-    )
-    return merged.select("doc_id", "n_words", F.flatten("lists").alias("runs"), "items")
+    rows, found, items = _search(documents, benchmark, window, kgram, bits)
+    key = ["k1", "k2"]
+    each = Window.partitionBy(*key).orderBy("at", "end")
+    spans = found.select(*key, "at", (F.col("at") + F.col("size")).alias("end")).distinct()
+    spans = spans.withColumn("new", F.coalesce(F.col("at") > F.max("end").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    spans = spans.withColumn("run", F.sum("new").over(each.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.groupBy(*key, "run").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    runs = runs.groupBy(*key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "end"))), lambda r: F.array(r["at"], r["end"]))).alias("runs"))
+    named = found.select(*key, "size", "one", "two").distinct().join(items.select("size", "one", "two", "item_id"), ["size", "one", "two"])
+    named = named.groupBy(*key).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    none = F.array().cast("array<long>")
+    out = rows.join(runs, key, "left").join(named, key, "left")
+    return out.select("doc_id", "n_words", F.coalesce("runs", none).alias("runs"), F.coalesce("items", none).alias("items"))
+
+
+def without_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, kgram: int = KGRAM) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, that contain no window of an item."""
+    _, found, _ = _search(documents, benchmark, window, kgram, None)
+    hit = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    return _keyed(documents, "__k1", "__k2").join(hit, ["__k1", "__k2"], "left_anti").select(*documents.columns)
 
 
 def report(found: DataFrame) -> DataFrame:
     """Digest columns of ``contaminated_spans``: ``n_hit, n_items, items_sha256, contaminated``."""
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("runs") / 2).cast("int") - 1), lambda i: F.slice("runs", i * 2 + 1, 2))
-    hit = F.when(F.size("runs") == 0, F.lit(0).cast("long")).otherwise(_covered(pairs))
+    hit = F.aggregate(F.transform("runs", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
     names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated")
     )
 
 
-def _covered(pairs):
-    """Length of the union of spans."""
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach"))
-    return F.aggregate(
-        F.array_sort(pairs),
-        start,
-        lambda s, p: F.struct(
-            (s.total + F.greatest(F.lit(0).cast("long"), p[1] - F.greatest(p[0], s.reach))).alias("total"), F.greatest(s.reach, p[1]).alias("reach")
-        ),
-        lambda s: s.total,
-    )
-
-
 def op6_decontaminate(spark, sf_dir):
-    from .tables import table
-
     return report(contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 

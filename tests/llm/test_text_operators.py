@@ -217,23 +217,43 @@ def items_of(text, n=10):
     return {tuple(w[i : i + min(n, len(w))]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK, 7])
-def test_decontamination(spark, make, real, block):
+def hits_of(text, bench):
+    """Words, words hit and items with hits, by plain comparison."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+    hit, items = set(), set()
+    for i, t in bench:
+        for window in items_of(t) if i is not None else ():
+            for a in range(len(w) - len(window) + 1):
+                if tuple(w[a : a + len(window)]) == window:
+                    hit |= set(range(a, a + len(window)))
+                    items.add(str(i))
+    return len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit)
+
+
+@pytest.mark.parametrize("bits", [None, 2, 18])
+def test_decontamination(spark, make, real, bits):
+    """The bitmap's size, down to one that lets everything through, changes nothing."""
     passage = " ".join(f"p{i}" for i in range(25))
-    bench = [(1, passage), (2, "Short item"), (3, None), (4, ""), (None, "null id"), (10, passage), (11, " ".join(f"p{i}" for i in range(5, 18)))]
+    bench = [(1, passage), (2, "Short item"), (3, None), (4, ""), (None, "null id"), (10, passage), (10, passage), (11, " ".join(f"p{i}" for i in range(5, 18)))]
     texts = real[:20] + real[-14:] + ["x " + passage.upper() + " y", "a short-item here short", " ".join(f"p{i}" for i in range(9)), " ".join(f"p{i}" for i in range(3, 14)) + " . " + " ".join(f"p{i}" for i in range(12, 25))]
-    found = decontaminate.report(decontaminate.contaminated_spans(make(texts), spark.createDataFrame(bench, "item_id long, text string"), block=block)).collect()
+    found = decontaminate.report(decontaminate.contaminated_spans(make(texts), spark.createDataFrame(bench, "item_id long, text string"), bits=bits)).collect()
     for r in found:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(texts[r["doc_id"]]))
-        hit, items = set(), set()
-        for i, t in bench:
-            for window in items_of(t) if i is not None else ():
-                for a in range(len(w) - len(window) + 1):
-                    if tuple(w[a : a + len(window)]) == window:
-                        hit |= set(range(a, a + len(window)))
-                        items.add(str(i))
-        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit))
-    assert sum(r["contaminated"] for r in found) >= 3
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == hits_of(texts[r["doc_id"]], bench)
+    assert sum(r["contaminated"] for r in found) >= 3 and len(found) == len(texts)
+
+
+def test_decontamination_null_and_repeated_ids(spark):
+    """Each row has its own hits, whatever its id; ``without_benchmark`` keeps the other rows and all their columns."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(None, "a " + passage), (None, "nothing here"), (3, passage + " b"), (3, "clean"), (3, "clean"), (4, passage), (4, passage), (5, None)]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, kept string, at int")
+    bench = [(1, passage), (2, "Short item")]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    found = decontaminate.report(decontaminate.contaminated_spans(docs, items)).collect()
+    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert Counter((r["doc_id"], *[r[n] for n in names]) for r in found) == Counter((i, *hits_of(t, bench)) for i, t in rows)
+    clean = decontaminate.without_benchmark(docs, items)
+    assert clean.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter((i, t) for i, t in rows if "p1 " not in (t or ""))
 
 
 def test_decontamination_empty_tables(spark, make):
