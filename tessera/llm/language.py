@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learn import documents_text, held_out
-from .tables import table
+from .tables import opened, share, table
 from .words import byte_class, joined, lowered, mix, slices
 
 NGRAM, HASHES, BITS = 4, 3, 20
 #: Documents a language is learnt from, at most (chosen by a hash of the id).
 ROWS = 4000
-#: An n-gram belongs to a language if so many of its sampled documents have it.
-LEAST = 2
+#: An n-gram belongs to a language if at least this share of its sampled documents have it.
+LEAST = 5e-4
 #: A text below this score, or of no language, is rejected by ``keep_known``.
 ACCEPT = 0.3
 
@@ -96,7 +96,11 @@ class Filters:
 
 
 def train(documents: DataFrame, rows: int = ROWS, parts: int = 4, part: int = 2) -> Filters:
-    """Learn from at most about ``rows`` documents of each language outside the held-out fold."""
+    """Learn from at most about ``rows`` documents of each language outside the held-out fold.
+
+    The driver holds one filter slice and the sampled n-grams per distinct value of ``lang``, a closed set of names.
+    Repeated rows count as often as they occur.
+    """
     known = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(parts, part))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -106,18 +110,21 @@ def train(documents: DataFrame, rows: int = ROWS, parts: int = 4, part: int = 2)
     sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < share[F.col("lang")])
     grams = sample.select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
     grams = grams.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    least = {lang: LEAST if n >= 50 else 1 for lang, n in counts.items()}
-    needed = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
+    needed = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, LEAST * min(rows, n))])
     return Filters(sorted(counts), grams.filter(F.col("n") >= needed[F.col("lang")]).select("lang", "code").toPandas())
 
 
 def identify(documents: DataFrame, filters: Filters) -> DataFrame:
-    """``doc_id, lang_pred, score``. Null texts and texts without a letter are ``und`` with score 0; ties go to the first language in order."""
-    shared = documents.sparkSession.sparkContext.broadcast(filters)
+    """``doc_id, lang_pred, score``. Null texts and texts without a letter are ``und`` with score 0; ties go to the first language in order.
+
+    Every n-gram of a text counts, however long it is; each row is judged by itself, so repeated ids and rows each give their own row.
+    """
+    shared = share(documents.sparkSession, filters)
 
     def run(batches):
+        known = opened(shared)
         for piece in slices(batches):
-            lang, score = shared.value.decide(piece.column("text"))
+            lang, score = known.decide(piece.column("text"))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return documents_text(documents).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -125,12 +132,13 @@ def identify(documents: DataFrame, filters: Filters) -> DataFrame:
 
 def keep_known(documents: DataFrame, filters: Filters, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``documents``, all columns as they are, whose text has a language with at least ``accept``."""
-    shared = documents.sparkSession.sparkContext.broadcast(filters)
+    shared = share(documents.sparkSession, filters)
 
     def run(batches):
+        known = opened(shared)
         for piece in slices(batches):
             text = piece.column("text")
-            lang, score = shared.value.decide(text)
+            lang, score = known.decide(text)
             yield piece.filter(pa.array([x != "und" and s >= accept for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

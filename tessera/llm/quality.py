@@ -2,24 +2,28 @@
 
 Each document is reduced to a short vector of statistics.  A random Fourier map
 of the standardised vector approximates a Gaussian kernel; partitions sum the
-normal equations of all labelled rows, the driver adds a bounded number of
-those sums and solves one small system.  Binned scores of the labelled rows are
+normal equations of all labelled rows, whose sums are added in groups, and the
+driver solves one small system.  Binned scores of the labelled rows are
 made monotone by pooling adjacent violators, which turns a score into a
 probability.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learn import documents_text, held_out, training_labels
-from .tables import cut, table
+from .tables import cut, opened, share, table
 from .words import Words, grams, joined, lowered, slices
 
-FEATURES, WIDTH, RIDGE, BINS, SUMS = 160, 4.0, 1e-4, 1000, 32
+FEATURES, WIDTH, RIDGE, BINS = 160, 4.0, 1e-4, 1000
 THRESHOLD = 0.3
 NAMES = (
     "log_bytes log_words log_lines word_mean word_std upper lower digit mark space high bang bar distinct_words distinct_pairs distinct_fives "
@@ -109,7 +113,7 @@ def _measure(batches):
 
 
 def measure(documents: DataFrame) -> DataFrame:
-    """``doc_id, stats``: the statistics of each whole text; null counts as empty."""
+    """``doc_id, stats``: the statistics of each whole text, however long; null counts as empty. Repeated ids and rows each give their own row."""
     return documents_text(documents).mapInArrow(_measure, "doc_id long, stats array<double>")
 
 
@@ -148,6 +152,10 @@ def pooled(count, total):
     return np.concatenate([np.full(k, s / n) for n, s, k in blocks])
 
 
+def _added(pdf):
+    return pd.DataFrame({"total": [sum(np.frombuffer(x) for x in pdf["total"]).tobytes()]})
+
+
 def train(measured: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0) -> Model:
     """Fit on all labelled rows outside the held-out fold. Without any, every score is 0.5."""
     rows = measured.join(training_labels(labels, "quality", parts, part), "doc_id").select("stats", F.col("label").cast("double").alias("label"))
@@ -164,10 +172,13 @@ def train(measured: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0)
         for batch in batches:
             x = model.features(_stats(batch))
             total += x.T @ np.column_stack((x, np.asarray(batch.column("label"))))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "total"])
 
-    # at most SUMS partial sums of fixed size reach the driver
-    partial = rows.coalesce(SUMS).mapInArrow(sums, "total binary").collect()
+    # one sum of fixed size a task; of n tasks about sqrt(n) sums reach the driver
+    groups = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    partial = rows.mapInArrow(sums, "g int, total binary")
+    partial = partial.withColumn("g", F.pmod("g", F.lit(groups))).groupBy("g").applyInPandas(_added, "total binary").collect()
     total = sum(np.frombuffer(r["total"]).reshape(FEATURES + 1, FEATURES + 2) for r in partial)
     model.weight = np.linalg.solve(total[:, :-1] + RIDGE * moments["n"] * np.eye(FEATURES + 1), total[:, -1])
 
@@ -184,13 +195,14 @@ def train(measured: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0)
 
 def score(measured: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` (the calibrated probability of label 1)."""
-    shared = measured.sparkSession.sparkContext.broadcast(model)
+    shared = share(measured.sparkSession, model)
 
     def run(batches):
+        known = opened(shared)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(_stats(batch)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(known.score(_stats(batch)))], names=["doc_id", "score"])
 
-    return measured.mapInArrow(run, "doc_id long, score double")
+    return measured.select(F.col("doc_id").cast("long"), "stats").mapInArrow(run, "doc_id long, score double")
 
 
 def op10_quality(spark, sf_dir):
