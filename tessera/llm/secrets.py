@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .learn import documents_text
 from .tables import cut, table
 
-SCOPE = 200
+#: Code points between linked parts, matches folded at a time.
+SCOPE, FOLD = 200, 64
 
 # Kind, pattern, group whose length counts, least length.
 BASE = (
@@ -47,7 +48,7 @@ def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
     part = size(F.regexp_extract_all(text, p, F.lit(group))) if group else whole
     each = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("size"), part.alias("part"))
     span = "array<struct<start:int,rank:int,end:int,kind:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), span).alias("out"))
+    none, at = F.from_json(F.lit("[]"), span), F.lit(0)
 
     def step(s, m):
         start = s["at"] + m["gap"]
@@ -55,8 +56,15 @@ def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
         out = F.when(m["part"] >= least, F.concat(s["out"], F.array(found))).otherwise(s["out"])
         return F.struct((start + m["size"]).alias("at"), out.alias("out"))
 
+    def block(s, b):
+        """``FOLD`` matches at a time: what is appended to stays short, however many matches a text has."""
+        own = F.struct(s["at"].alias("at"), none.alias("out"))
+        return F.aggregate(F.slice(each, b * FOLD + 1, F.lit(FOLD)), own, step, lambda x: F.struct(x["at"].alias("at"), F.concat(s["outs"], F.array(x["out"])).alias("outs")))
+
+    begin = F.struct(at.alias("at"), F.from_json(F.lit("[]"), f"array<{span}>").alias("outs"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / FOLD).cast("int"))
     # nothing to sum where there is no match
-    return F.when(F.size(whole) > 0, F.aggregate(each, begin, step, lambda s: s["out"])).otherwise(F.from_json(F.lit("[]"), span))
+    return F.when(F.size(whole) > 0, F.aggregate(blocks, begin, block, lambda s: F.flatten(s["outs"]))).otherwise(none)
 
 
 def _bins(start: Column, end: Column, reach: int) -> Column:
