@@ -18,9 +18,9 @@ with probability 1.2e-5 at depth 3 and 3.2e-5 at depth 8, closer ones less.  The
   ``DEEPEST`` the rest is compared that way.
 
 Candidates must pass a size bound (exact) and a sketch of two bits per
-coordinate (whose loss at the threshold is about 1e-5) before sets are fetched: each document's set
-travels once to each block of its candidate group, where links are confirmed on
-full sets.  Documents with equal sets are one class and travel as one.
+coordinate (whose loss at the threshold is about 1e-5) before sets are joined to
+them and links are confirmed on full sets.  Documents with equal sets are one
+class and travel as one.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ from .learn import documents_text
 from .tables import cut
 from .words import Words, joined, lowered, mix, seeds, shingle_sets, slices
 
-COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL, GROUP = 64, 5, 2, 3, 8, 40, 1500
+COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL = 64, 5, 2, 3, 8, 40
+#: Documents, and shingles of their sets, of a block of a large node.
+GROUP, WORDS = 1500, 4_000_000
 #: Pairs of a node (documents outside its main component times all) that are compared rather than branched on.
 WORK = 20_000_000
 #: Document ids that may be broadcast (8 bytes each), after they are counted.
@@ -153,44 +155,26 @@ def _candidates(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return star.union(lists.select(F.explode(each).alias("p")).select("p.a", "p.b")).distinct()
 
 
-def _confirm(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links among the candidate pairs, by full sets. groups: task, a, b."""
-
-    def run(left, right):
-        have = {d: np.frombuffer(s, dtype=np.uint64) for d, s in zip(right["doc"], right["words"], strict=True)}
-        keep = []
-        for a, b in zip(left["a"], left["b"], strict=True):
-            x, y = have[a], have[b]
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(100 * common >= threshold * (len(x) + len(y) - common))
-        return left.loc[keep, ["a", "b"]]
-
-    members = groups.select(F.col("task").alias("job"), F.explode(F.array("a", "b")).alias("doc")).distinct()
-    shipped = members.join(sets, "doc").select("job", "doc", "words")
-    return groups.groupBy("task").cogroup(shipped.groupBy("job")).applyInPandas(run, "a long, b long")
-
-
 def _sets(n_words):
     def run(batches):
         for piece in slices(batches):
             buffer, offsets = joined(piece.column("text"))
             sets, _ = shingle_sets(Words(lowered(buffer), offsets, "spaced"), n_words)
-            yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "words"])
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc", "words"])
 
     return run
 
 
 def _links(docs: DataFrame, pairs: DataFrame, n_words: int, threshold: int) -> DataFrame:
-    """Candidate groups are split into blocks of about ``GROUP`` documents; a task is a pair of blocks of one group."""
-    groups = components(pairs)
-    groups = groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component")
-    block = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("members") / GROUP))
-    groups = cut(groups.select("node", "component", block.cast("int").alias("block")))
-    left = groups.select(F.col("node").alias("a"), "component", F.col("block").alias("i"))
-    right = groups.select(F.col("node").alias("b"), F.col("block").alias("j"))
-    tasks = pairs.join(left, "a").join(right, "b")
-    tasks = cut(tasks.select(F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "a", "b"))
-    return cut(_confirm(tasks, _wanted_sets(docs, groups.select(F.col("node").alias("doc")), n_words), threshold))
+    """Links among the candidate pairs, by full sets: a pair is a row, so adaptive execution can split the pairs of one document."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = cut(_wanted_sets(docs, wanted, n_words))
+    side = lambda n: sets.select(F.col("doc").alias(n), F.col("words").alias(f"w{n}"))
+    common = F.size(F.array_intersect("wa", "wb"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * common >= threshold * (F.size("wa") + F.size("wb") - common))
+    return cut(found.select("a", "b").distinct())
 
 
 def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80) -> DataFrame:
@@ -200,8 +184,10 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
     ``n_words``-word shingles is at least ``threshold`` percent.  A text of fewer
     words is its whole sequence; null or empty texts have an empty set and are
     linked with nothing.  ``component_id`` is the least id reachable, ``kept``
-    whether it is the document's own.  Ids are distinct longs; a null id is
-    left as it is, unlinked, with a null component.  The bounds before the
+    whether it is the document's own.  Rows that repeat an id are one document
+    with several texts: each row has its own set, what is linked with one is in
+    the component of all.  A null id is left as it is, unlinked, with a null
+    component.  Whole texts count, however long.  The bounds before the
     confirmation hold for ``threshold`` of 80 or more; a lower one is an error.
     """
     if threshold < 80:
@@ -213,7 +199,7 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
     rows = classes.select(*MEMBER, "sig").mapInArrow(_first_levels, ROW)
     nodes = cut(_nodes(rows))
     pairs = cut(_candidates(rows, nodes))
-    links = _links(docs, pairs, n_words, threshold)
+    links = _links(docs, pairs, n_words, threshold).union(_same_document(full, classes))
     groups = cut(components(links))
     for level in range(DEPTH, DEEPEST + 1):
         large = nodes.filter(F.col("size") > SMALL).select("node")
@@ -235,13 +221,20 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
         if more is None:
             break
     top = classes.join(groups, classes["doc"] == groups["node"], "left").select("name", F.coalesce("component", "doc").alias("component"))
-    empty = F.col("n") == 0
-    found = signed.select("doc_id", "n", F.when(~empty, F.col("name")).alias("name")).join(top, "name", "left")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    found = signed.select("doc_id", "n", F.when(linked, F.col("name")).alias("name")).join(top, "name", "left")
     component = F.coalesce("component", "doc_id")
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
+def _same_document(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between an id that has several sets and the least documents of those."""
+    several = full.groupBy("doc_id").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x <> y").select("doc_id")
+    found = full.select("doc_id", "name").join(several, "doc_id", "left_semi").join(classes.select("name", "doc"), "name")
+    return found.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).filter("a <> b").distinct()
+
+
 def _unsettled(rows: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
     """Rows of large nodes that must branch again, and (node, doc, apart) of those that end here.
 
@@ -267,7 +260,7 @@ def _exhaust(threshold: int):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sides, common = [], np.zeros((len(left), len(right)), dtype=np.int32)
         for part in (left, right):
-            sets = [np.frombuffer(w, dtype=np.uint64) for w in part["words"]]
+            sets = [np.asarray(w, dtype=np.int64) for w in part["words"]]
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
             order = np.argsort(flat, kind="stable")
             value, start = np.unique(flat[order], return_index=True)
@@ -295,22 +288,24 @@ def _exhaust(threshold: int):
 
 
 def _exhaustive(docs: DataFrame, stuck: DataFrame, n_words: int, threshold: int) -> DataFrame:
-    """Links that join components within the stuck nodes: blocks of about ``GROUP`` documents meet in tasks of bounded size, and no pair is listed that isn't a link.
+    """Links that join components within the stuck nodes: blocks of about ``GROUP`` documents or ``WORDS`` shingles meet in tasks of bounded size, and no pair is listed that isn't a link.
 
     Nodes that share documents form one group, so a pair is compared once however many nodes hold it.
     """
     stars = stuck.groupBy("node").agg(F.min("doc").alias("b"))
     groups = components(stuck.join(stars, "node").select(F.col("doc").alias("a"), "b")).withColumnRenamed("node", "doc")
     members = cut(groups.join(stuck.groupBy("doc").agg(F.bool_or("apart").alias("apart")), "doc"))
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("all"), F.ceil(F.count_if("apart") / GROUP).cast("int").alias("some"))
+    members = cut(members.join(_wanted_sets(docs, members.select("doc"), n_words), "doc"))
+    blocks = lambda n, words: F.greatest(F.ceil(n / GROUP), F.ceil(words / WORDS)).cast("int")
+    here, n = F.col("apart"), F.size("words").cast("long")
+    sizes = members.groupBy("component").agg(blocks(F.count("*"), F.sum(n)).alias("all"), blocks(F.count_if(here), F.sum(F.when(here, n).otherwise(0))).alias("some"))
     members = members.join(sizes, "component")
     block = lambda n: F.pmod(F.xxhash64("doc", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.filter("apart").select("doc", "component", F.lit(0).alias("side"), block("some").alias("i"), every("all").alias("j"))
-    right = members.select("doc", "component", F.lit(1).alias("side"), block("all").alias("j"), every("some").alias("i"))
-    tasks = left.unionByName(right).select("doc", "side", F.xxhash64("component", "i", "j").alias("task"))
-    shipped = tasks.join(_wanted_sets(docs, members.select("doc"), n_words), "doc")
-    return cut(shipped.groupBy("task").applyInPandas(_exhaust(threshold), "a long, b long").distinct())
+    left = members.filter("apart").select("doc", "words", "component", F.lit(0).alias("side"), block("some").alias("i"), every("all").alias("j"))
+    right = members.select("doc", "words", "component", F.lit(1).alias("side"), block("all").alias("j"), every("some").alias("i"))
+    tasks = left.unionByName(right).select("doc", "words", "side", F.xxhash64("component", "i", "j").alias("task"))
+    return cut(tasks.groupBy("task").applyInPandas(_exhaust(threshold), "a long, b long").distinct())
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
@@ -318,7 +313,7 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     wanted = wanted.distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     texts = docs.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi")
-    return texts.mapInArrow(_sets(n_words), "doc long, words binary")
+    return texts.mapInArrow(_sets(n_words), "doc long, words array<long>")
 
 
 def op2_near(spark, sf_dir):
