@@ -17,7 +17,9 @@ Documents are dealt once by id into groups of about ``GROUP_BYTES`` input bytes.
    the document itself.
 
 A passage that a third of all documents share is sent once per group, not once
-per document, so no bucket grows with the number of copies.
+per document, so no bucket grows with the number of copies.  A minimiser that
+``HOT`` groups have is one of many different windows: those are dealt by a second
+minimiser, of another hash, as well.
 """
 
 from __future__ import annotations
@@ -32,25 +34,34 @@ from pyspark.sql import functions as F
 
 from .learn import documents_text
 from .tables import pieces, table
-from .words import U, Words, grams, joined, least
+from .words import U, Words, grams, joined, least, mix
 
 WINDOW, CORE = 13, 6
 GROUP_BYTES, BUCKET_BYTES = 4_000_000, 4_000_000
+#: Groups that have a minimiser, from which on its windows are dealt by a second one too.
+HOT = 32
 
 
 class Windows:
     """Windows of a group of texts: minimiser, hashes and documents."""
 
     def __init__(self, texts, window: int, core: int):
-        self.n = window
+        self.n, self.core = window, core
         self.words = Words(*joined(pa.array(texts, pa.large_string())), "spaced")
         size = len(self.words.hash) - window + 1
         good = self.words.windows(window)[: max(0, size)]
         self.at = np.flatnonzero(good)
-        if size <= 0:
-            self.least = np.empty(0, U)
-        else:
-            self.least = least(grams(self.words.hash, core, 61), window - core + 1)[self.at]
+        self.least = self._least(61)
+
+    def _least(self, salt):
+        if len(self.words.hash) < self.n:
+            return np.empty(0, U)
+        return least(grams(self.words.hash, self.core, salt), self.n - self.core + 1)[self.at]
+
+    def buckets(self, hot, buckets):
+        """Each window's bucket: by its minimiser, for hot ones by a second minimiser too, so that equal windows meet."""
+        value = np.where(hot, mix(self.least ^ self._least(64)), self.least) if hot.any() else self.least
+        return (value % U(buckets)).astype(np.int64)
 
     def doc(self):
         return np.searchsorted(self.words.first, self.at, side="right") - 1
@@ -60,15 +71,15 @@ class Windows:
         one, two = (np.empty(0, U), np.empty(0, U)) if not len(chosen) else (grams(self.words.hash, self.n, salt)[self.at[chosen]] for salt in (62, 63))
         return one, two
 
-    def runs(self, chosen):
-        """(first window, last window) of each super-k-mer among the chosen windows."""
+    def runs(self, chosen, bucket):
+        """(first window, last window, bucket) of each super-k-mer among the chosen windows."""
         if not len(chosen):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        place, low = self.at[chosen], self.least[chosen]
-        new = np.concatenate(([True], (place[1:] != place[:-1] + 1) | (low[1:] != low[:-1])))
+            return [np.empty(0, np.int64)] * 3
+        place, low, bucket = self.at[chosen], self.least[chosen], bucket[chosen]
+        new = np.concatenate(([True], (place[1:] != place[:-1] + 1) | (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(chosen)) - 1
-        return place[first], place[last]
+        return place[first], place[last], bucket[first]
 
 
 def _within(values, known):
@@ -84,6 +95,7 @@ def _blob(x) -> bytes:
 
 def _minimisers(window, core, buckets):
     def run(pdf):
+        g, pdf = int(pdf["g"].iloc[0]), pdf[pdf["named"]]
         w = Windows(pdf["text"], window, core)
         doc, low = w.doc(), w.least
         order = np.lexsort((doc, low))
@@ -97,23 +109,26 @@ def _minimisers(window, core, buckets):
         rows = []
         for b in np.unique(bucket).tolist():
             mine = bucket == b
-            rows.append((b, int(pdf["g"].iloc[0]), _blob(value[mine]), _blob(twice[mine])))
+            rows.append((b, g, _blob(value[mine]), _blob(twice[mine])))
         return pd.DataFrame(rows, columns=["bucket", "g", "value", "twice"])
 
     return run
 
 
 def _shared(pdf):
+    """To each group, those of its minimisers that two documents have, and whether so many groups have them that they are dealt by a second minimiser too."""
     values = [np.frombuffer(x, dtype=U) for x in pdf["value"]]
     if not values:
-        return pd.DataFrame({"h": [], "shared": []})
+        return pd.DataFrame({"h": [], "shared": [], "hot": []})
     flat, twice = np.concatenate(values), np.concatenate([np.frombuffer(x, dtype=bool) for x in pdf["twice"]])
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
     count = np.diff(np.append(start, len(ordered)))
-    known = ordered[start][(count > 1) | np.logical_or.reduceat(twice[order], start)]
-    return pd.DataFrame({"h": pdf["g"], "shared": [_blob(np.sort(v[_within(v, known)])) for v in values]})
+    common = (count > 1) | np.logical_or.reduceat(twice[order], start) if len(start) else np.empty(0, bool)
+    known, often = ordered[start][common], ordered[start][count >= HOT]
+    shared = [v[_within(v, known)] for v in values]
+    return pd.DataFrame({"h": pdf["g"], "shared": [_blob(v) for v in shared], "hot": [_blob(v[_within(v, often)]) for v in shared]})
 
 
 def _union(frame, column):
@@ -126,20 +141,18 @@ def _packed(window, core, buckets):
         names = ["bucket", "g", "strings", "docs"]
         if not len(pdf):
             return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values("doc_id", kind="stable")
+        g, pdf = int(pdf["g"].iloc[0]), pdf[pdf["named"]].sort_values("doc_id", kind="stable")
         w = Windows(pdf["text"], window, core)
         chosen = np.flatnonzero(_within(w.least, _union(reply, "shared")))
-        first, last = w.runs(chosen)
+        first, last, bucket = w.runs(chosen, w.buckets(_within(w.least, _union(reply, "hot")), buckets))
         ids, raw = pdf["doc_id"].to_numpy(), w.words.buffer.tobytes()
         starts, ends = w.words.start, w.words.end
         doc = np.searchsorted(w.words.first, first, side="right") - 1
-        bucket = (w.least[np.searchsorted(w.at, first)] % U(buckets)).astype(np.int64)
         found: dict[int, dict[bytes, int]] = {}
         for b, d, a, z in zip(bucket.tolist(), doc.tolist(), first.tolist(), (last + window - 1).tolist(), strict=True):
             packed = b" ".join(raw[starts[a] : ends[z]].split())
             # documents come in ascending order: the first holds
             found.setdefault(b, {}).setdefault(packed, int(ids[d]))
-        g = int(pdf["g"].iloc[0])
         return pd.DataFrame([(b, g, b"\n".join(x), _blob(np.fromiter(x.values(), np.int64, len(x)))) for b, x in found.items()], columns=names)
 
     return run
@@ -186,7 +199,7 @@ def _owners(window):
 
 def _clean(window, core, digest):
     def run(pdf, reply):
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "text"]
+        names = ["doc_id", "named", "n_words", "n_removed", "kept_sha256" if digest else "text"]
         if not len(pdf):
             return pd.DataFrame(columns=names)
         w = Windows(pdf["text"], window, core)
@@ -204,7 +217,8 @@ def _clean(window, core, digest):
                 good = (one[0][at] == a) & (two[0][at] == b)
                 low[good] = np.minimum(low[good], two[1][at][good])
             ids = pdf["doc_id"].to_numpy(dtype=np.int64)[w.doc()[chosen]]
-            hit = w.at[chosen[low < ids]]
+            named = pdf["named"].to_numpy(dtype=bool)[w.doc()[chosen]]
+            hit = w.at[chosen[(low < ids) & named]]
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + window, -1)
         gone = np.cumsum(cover[:-1]) > 0
@@ -218,7 +232,7 @@ def _clean(window, core, digest):
         kept, size = plain[mask].tobytes(), np.concatenate(([0], np.cumsum(mask)))[words.offsets]
         texts = [kept[a : max(a, b - 1)] for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
         last = [hashlib.sha256(t).hexdigest() if digest else t.decode() for t in texts]
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": words.count.astype(np.int64), "n_removed": removed, names[3]: last})
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "named": pdf["named"], "n_words": words.count.astype(np.int64), "n_removed": removed, names[4]: last})
 
     return run
 
@@ -243,20 +257,24 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, core: int = CORE,
 
     A word goes if it is covered by a window whose word sequence also starts in
     a document with a smaller id, judged on the input.  Null texts have no words.
-    Rows with a null id are kept unchanged apart from white space: nothing is
-    smaller than a null.  Rows that repeat an id are one document to each other.
+    Rows with a null id are kept unchanged apart from white space and remove
+    nothing: neither is smaller than a null, nor a null than anything.  Rows that
+    repeat an id are one document to each other.
     """
     docs = documents_text(documents)
     groups, buckets = pieces(documents, GROUP_BYTES), pieces(documents, BUCKET_BYTES)
-    docs = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    by_group = lambda: docs.groupBy("g")
+    docs = docs.select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    # about one group, or bucket, a partition: Spark would deal them to fewer unevenly
+    by_group = lambda: docs.repartition(groups, "g").groupBy("g")
     sent = by_group().applyInPandas(_minimisers(window, core, buckets), "bucket long, g long, value binary, twice binary")
-    shared = sent.groupBy("bucket").applyInPandas(_shared, "h long, shared binary")
+    shared = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared, "h long, shared binary, hot binary")
     packed = by_group().cogroup(shared.groupBy("h")).applyInPandas(_packed(window, core, buckets), "bucket long, g long, strings binary, docs binary")
-    owners = packed.groupBy("bucket").applyInPandas(_owners(window), "h long, one binary, two binary, low binary")
+    owners = packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_owners(window), "h long, one binary, two binary, low binary")
     last = "kept_sha256 string" if digest else "text string"
-    found = by_group().cogroup(owners.groupBy("h")).applyInPandas(_clean(window, core, digest), f"doc_id long, n_words long, n_removed long, {last}")
-    return found.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    found = by_group().cogroup(owners.groupBy("h")).applyInPandas(_clean(window, core, digest), f"doc_id long, named boolean, n_words long, n_removed long, {last}")
+    return found.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", last.split()[0])
 
 
 def op8_substring(spark, sf_dir):
