@@ -14,7 +14,8 @@ with probability 1.2e-5 at depth 3 and 3.2e-5 at depth 8, closer ones less.  The
 * In a larger one every document is compared with the node's least one. Nodes
   whose documents all hang together then need nothing more; where that leaves
   ``WORK`` pairs or fewer, documents outside the main component are compared with
-  all the node has, in blocks; else the node branches again, and at depth
+  all the node has, in blocks, sketches first and then the sets of those that are
+  close to another component; else the node branches again, and at depth
   ``DEEPEST`` the rest is compared that way.
 
 Candidates must pass a size bound (exact) and a sketch of two bits per
@@ -38,9 +39,9 @@ from .learn import documents_text
 from .tables import cut
 from .words import Words, joined, lowered, mix, seeds, shingle_sets, slices
 
-COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL = 64, 5, 2, 3, 8, 40
-#: Documents, and shingles of their sets, of a block of a large node.
-GROUP, WORDS = 1500, 4_000_000
+COORDINATES, TREES, BRANCH, DEPTH, DEEPEST, SMALL = 64, 5, 2, 2, 8, 40
+#: Documents, and shingles of their sets, of a block of a large node; rows of sketches of a block.
+GROUP, WORDS, BLOCK = 1500, 4_000_000, 4000
 #: Pairs of a node (documents outside its main component times all) that are compared rather than branched on.
 WORK = 20_000_000
 #: Document ids that may be broadcast (8 bytes each), after they are counted.
@@ -204,7 +205,7 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
     for level in range(DEPTH, DEEPEST + 1):
         large = nodes.filter(F.col("size") > SMALL).select("node")
         again, stuck = _unsettled(rows.join(large, "node"), groups, level == DEEPEST)
-        stuck = cut(stuck)
+        stuck = cut(_across(stuck))
         more, settled = None, stuck.isEmpty()
         if not settled:
             links = links.union(_exhaustive(docs, stuck, n_words, threshold))
@@ -236,7 +237,7 @@ def _same_document(full: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _unsettled(rows: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows of large nodes that must branch again, and (node, doc, apart) of those that end here.
+    """Rows of large nodes that must branch again, and those that end here, with ``component`` and ``apart``.
 
     ``apart`` marks documents outside the node's main component: every pair that
     could still join two components has one of them.
@@ -248,7 +249,38 @@ def _unsettled(rows: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFram
     work = large.filter("apart").groupBy("node").agg((F.count("*") * F.max("size")).alias("work"))
     large = large.join(work, "node")
     stop = F.lit(True) if last else F.col("work") <= WORK
-    return large.filter(~stop).select("node", *MEMBER), large.filter(stop).select("node", "doc", "apart")
+    return large.filter(~stop).select("node", *MEMBER), large.filter(stop).select("node", *MEMBER, "component", "apart")
+
+
+def _meet(pdf):
+    """Documents of either side that are close, by size and sketch, to one of the other side's in another component."""
+    left, right = ([x[c].to_numpy() for c in ("n", "s0", "s1", "component")] for x in (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]))
+    found = [np.zeros(len(x[0]), dtype=bool) for x in (left, right)]
+    for at in range(0, len(left[0]), 500):
+        n, s0, s1, component = (x[at : at + 500, None] for x in left)
+        close = np.bitwise_count((s0 ^ right[1]).view(np.uint64)) + np.bitwise_count((s1 ^ right[2]).view(np.uint64)) <= SKETCH
+        close &= (np.minimum(n, right[0]) * 100 >= np.maximum(n, right[0]) * 80) & (component != right[3])
+        found[0][at : at + 500] |= close.any(1)
+        found[1] |= close.any(0)
+    return pd.concat([x.loc[f, ["node", "doc", "apart"]] for x, f in zip((pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]), found, strict=True)])
+
+
+def _across(stuck: DataFrame) -> DataFrame:
+    """(node, doc, apart) of the stuck nodes' documents that are close to one in another component: only those need their sets.
+
+    Documents set apart meet all of their node in blocks of ``BLOCK`` short rows.
+    """
+    here = F.col("apart")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = stuck.groupBy("node").agg(blocks(F.count("*")).alias("all"), blocks(F.count_if(here)).alias("some"))
+    rows = stuck.join(sizes, "node")
+    block = lambda n: F.pmod(F.xxhash64("doc", F.lit(5)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["node", *MEMBER, "component", "apart"]
+    left = rows.filter(here).select(*names, F.lit(0).alias("side"), block("some").alias("i"), every("all").alias("j"))
+    right = rows.select(*names, F.lit(1).alias("side"), block("all").alias("j"), every("some").alias("i"))
+    tasks = left.unionByName(right).withColumn("task", F.xxhash64("node", "i", "j"))
+    return tasks.groupBy("node", "task").applyInPandas(_meet, "node long, doc long, apart boolean").distinct()
 
 
 def _exhaust(threshold: int):
