@@ -69,21 +69,23 @@ def dedup_lines(documents: DataFrame, every: int = EVERY, whole: bool = False) -
     key = ["doc_id", "t"]
     text = documents_text(documents).filter("doc_id is not null").withColumn("t", F.xxhash64("text"))
     pieces = f"transform(filter({_chunks(every)}, c -> c.b > c.a), c -> named_struct('a', c.a, 'b', c.b, 'hash', c.hash))"
-    found = text.select(*key, F.expr(f"concat({pieces}, {_windows()})" if whole else pieces).alias("pieces"))
-    each = cut(found.select(*key, F.explode("pieces").alias("c")).select(*key, "c.*"))
-    # written, so that both sides of the joins by hash are exchanges whose hot keys adaptive execution can split
-    first = cut(each.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(*key, "a", "b")).alias("first")).filter("n > 1").select("hash", "first"))
+    found = text.select(*key, F.expr(f"array_union({pieces}, {_windows()})" if whole else pieces).alias("pieces"))
+    each = found.select(*key, F.explode("pieces").alias("c")).select(*key, "c.*")
+    # what joins by hash is written before, so that both sides are exchanges whose hot keys adaptive execution can split
+    often = cut(each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+    each = cut(each.join(often, "hash"))
+    first = cut(each.groupBy("hash").agg(F.min(F.struct(*key, "a", "b")).alias("first")))
     own = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.t") == F.col("t"))
     again = each.join(first, "hash").withColumn("is_first", own & (F.col("first.a") == F.col("a")))
     if whole:
         again = again.filter(F.col("is_first") | ~own | (F.col("first.b") < F.col("a")))
     wanted = again.groupBy(*key).agg(F.collect_set(F.struct("a", "b", "hash", "is_first")).alias("wanted"))
-    bodies = text.join(wanted, key).select(
+    # rows that repeat id and text are one document
+    bodies = text.join(wanted, key).dropDuplicates(key).select(
         *key,
         F.explode(F.expr(f"transform(array({_LINES}), l -> transform(wanted, c -> named_struct('a', c.a, 'b', c.b, 'hash', c.hash, 'is_first', c.is_first, 'body', array_join(slice(l, c.a + 1, c.b - c.a + 1), '\\n'))))[0]")).alias("c"),
     ).select(*key, "c.*")
-    bodies = cut(bodies)
-    firsts = cut(bodies.filter("is_first").select("hash", F.col("body").alias("same")).dropDuplicates(["hash"]))
+    firsts = bodies.filter("is_first").select("hash", F.col("body").alias("same"))
     gone = bodies.filter("not is_first").join(firsts, "hash").filter("body = same").select(*key, "a", "b")
     gone = _merged(gone) if whole else gone
     gone = gone.groupBy(F.col("doc_id").alias("__gone_id"), F.col("t").alias("__gone_t")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__gone"))
