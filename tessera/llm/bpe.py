@@ -4,7 +4,7 @@ Two neighbouring bytes that stand next to each other in no vocabulary token can
 never end up in one token, so a piece of text may be cut between them with no
 effect on its ids.  Pieces of the pre-tokeniser are cut there, fragments are
 encoded independently by merge rank, and their ids concatenated.  Fragment
-results are kept in a bounded cache of the Python worker; it only saves time.
+results are kept in a cache bounded by bytes that ends with the task; it only saves time.
 
 The vocabulary is read on the driver (its path is a parameter) and sent to the
 executors; its size doesn't depend on the data.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import sys
 from itertools import chain
 
 import numpy as np
@@ -23,11 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import opened, share, table
 from .words import slices
 
 #: The public pre-tokenisation pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE, NONE = 300_000, 1 << 60
+#: Bytes of the cache of pieces (an estimate by their length), characters encoded at a time.
+CACHE_BYTES, SEGMENT = 32_000_000, 1_000_000
+NONE = 1 << 60
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,17 +101,15 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes whole texts; holds the worker's cache."""
+    """Encodes and decodes whole texts; lives as long as a task, its cache of pieces bounded by bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.split = regex.compile(PATTERN).findall
+        self.split, self.gap = regex.compile(PATTERN).findall, regex.compile(r"\S(?=\s)")
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.known: dict[str, tuple[int, ...]] = {t: (i,) for t, i in vocabulary.added.items()}
-        self.shown: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
         self.text_of = {i: str(i) for i in vocabulary.bytes_of}
+        self.bytes_of = vocabulary.bytes_of
         keys = np.array([(a << 32) | b for a, b in vocabulary.merges], dtype=np.int64)
         rank, made = np.array(list(vocabulary.merges.values()), dtype=np.int64).reshape(-1, 2).T
         order = np.argsort(keys)
@@ -119,6 +119,11 @@ class Encoder:
         self.joins = np.zeros((256, 256), dtype=bool)
         for pair in vocabulary.joins:
             self.joins[pair[0], pair[1]] = True
+        self.forget()
+
+    def forget(self):
+        """Empty the cache of pieces and their ids, but for the added tokens."""
+        self.known, self.old, self.held = {t: (i,) for t, i in self.v.added.items()}, {}, 0
 
     def pieces(self, text: str) -> list[str]:
         """Added tokens and pre-tokens, in order; an added token never equals a pre-token (it would have been cut out)."""
@@ -129,29 +134,59 @@ class Encoder:
             out += [part] if k % 2 else self.split(part)
         return out
 
-    def cut(self, texts: list[str]) -> list[list[str]]:
-        """Pieces of each text, with the ids, the listed ids and the decoded bytes of every distinct piece at hand."""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) >= CACHE:
-            self.known, self.shown, self.back = {t: (i,) for t, i in self.v.added.items()}, {}, {}
-        new = list(set(chain.from_iterable(cut)).difference(self.shown))
-        for piece, ids in zip(new, self._fresh(new), strict=True):
-            ids = self.known.setdefault(piece, ids)
-            self.shown[piece] = ",".join(map(self.text_of.__getitem__, ids))
-            self.back[piece] = b"".join(map(self.v.bytes_of.__getitem__, ids))
-        return cut
+    def segments(self, text: str):
+        """Parts of a long text, cut where white space follows something else: no pre-token or added token spans that, nor looks across it from the left."""
+        at = 0
+        while len(text) - at > SEGMENT and (gap := self.gap.search(text, at + SEGMENT)):
+            yield text[at : gap.end()]
+            at = gap.end()
+        yield text[at:]
+
+    def blocks(self, texts):
+        """Lists of (row, segment) of about ``SEGMENT`` characters, so that pieces of many short texts are encoded side by side."""
+        block, size = [], 0
+        for row, text in enumerate(texts):
+            for part in self.segments(text):
+                if block and size + len(part) > SEGMENT:
+                    yield block
+                    block, size = [], 0
+                block.append((row, part))
+                size += len(part)
+        if block:
+            yield block
+
+    def learn(self, cut: list[list[str]]):
+        """Have the ids of every distinct piece at hand; of two generations of pieces the older one goes when the younger is full."""
+        if self.held > CACHE_BYTES // 2:
+            old = self.known
+            self.forget()
+            self.old = old
+        new, old = set(chain.from_iterable(cut)).difference(self.known), self.old
+        again = {p: old[p] for p in new if p in old}
+        new = list(new.difference(again))
+        self.known.update(again)
+        self.known.update(zip(new, self._fresh(new), strict=True))
+        self.held += 200 * (len(new) + len(again)) + 9 * (sum(map(len, new)) + sum(map(len, again)))
+
+    def encoded(self, texts):
+        """(row, ids) of each segment, in order; a text's ids are the concatenation."""
+        for block in self.blocks(texts):
+            cut = [self.pieces(part) for _, part in block]
+            self.learn(cut)
+            for (row, _), pieces in zip(block, cut, strict=True):
+                yield row, list(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [list(chain.from_iterable(map(self.known.__getitem__, pieces))) for pieces in self.cut(texts)]
+        out = [[] for _ in texts]
+        for row, ids in self.encoded(texts):
+            out[row] += ids
+        return out
 
-    def digests(self, texts: list[str]):
-        """(number of ids, ids joined by commas, decoded bytes) of each text; both strings are concatenations over pieces, as the ids are."""
-        for pieces in self.cut(texts):
-            ids = ",".join(map(self.shown.__getitem__, pieces))
-            yield ids.count(",") + bool(ids), ids, b"".join(map(self.back.__getitem__, pieces)), pieces
+    def listed(self, ids: list[int]) -> str:
+        return ",".join(map(self.text_of.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
     def _fresh(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """Ids of pieces that aren't cached: fragments between forced cuts, encoded side by side and concatenated."""
@@ -212,34 +247,35 @@ class Encoder:
         return [flat[b - k : b] for b, k in zip(ends, n.tolist(), strict=True)]
 
 
-def worker_encoder(path: str, vocabulary: Vocabulary) -> Encoder:
-    """One encoder a vocabulary and Python worker, so that its cache outlives a task."""
-    kept = sys.__dict__.setdefault("_tessera_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(vocabulary)
-    return kept[path]
+def _digests(encoder: Encoder, texts):
+    """Per text: number of ids and the digests of its ids and of its decoded text, segment by segment."""
+    n, ids_sha, text_sha = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
+    for row, ids in encoder.encoded(texts):
+        if ids:
+            ids_sha[row].update((("," if n[row] else "") + encoder.listed(ids)).encode())
+            n[row] += len(ids)
+            text_sha[row].update(encoder.decode(ids).encode())
+    return n, [x.hexdigest() for x in ids_sha], [x.hexdigest() for x in text_sha]
 
 
-def _hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def _whole(encoder: Encoder, texts):
+    """Per text: number of ids, the digest of the ids, the decoded text and the ids."""
+    lists = encoder.encode_batch(texts)
+    digests = [hashlib.sha256(encoder.listed(ids).encode()).hexdigest() for ids in lists]
+    return [len(x) for x in lists], digests, [encoder.decode(ids) for ids in lists], [np.array(ids, dtype=np.int32) for ids in lists]
 
 
-def _codec(path: str, shared, with_ids: bool):
+def _codec(shared, with_ids: bool):
     def run(batches):
-        encoder = worker_encoder(path, shared.value)
+        encoder = Encoder(opened(shared))
         for piece in slices(batches):
             texts = [t or "" for t in piece.column("text").to_pylist()]
-            rows = [(n, _hex(ids.encode()), back.decode("utf-8", "replace"), pieces) for n, ids, back, pieces in encoder.digests(texts)]
-            n, digests, back, cut = zip(*rows, strict=True)
-            columns, names = [pa.array(n, pa.int64()), pa.array(digests, pa.string())], ["n_tokens", "ids_sha256"]
+            n, digests, last, *ids = (_whole if with_ids else _digests)(encoder, texts)
+            columns, names = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(last, pa.string())], ["n_tokens", "ids_sha256", "decoded" if with_ids else "decoded_sha256"]
             if with_ids:
-                flat = np.fromiter(chain.from_iterable(map(encoder.known.__getitem__, chain.from_iterable(cut))), dtype=np.int32)
                 ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-                columns += [pa.array(back, pa.string()), pa.ListArray.from_arrays(ends, pa.array(flat))]
-                names += ["decoded", "ids"]
-            else:
-                columns.append(pa.array([_hex(t.encode()) for t in back], pa.string()))
-                names.append("decoded_sha256")
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids[0]), pa.int32())))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns], names=["doc_id", *names])
 
     return run
@@ -250,12 +286,15 @@ def encode(documents: DataFrame, vocabulary: str, with_ids: bool = True) -> Data
 
     Returns ``doc_id, n_tokens, ids_sha256`` and, with ``with_ids``, the decoded
     text and the ids, else ``decoded_sha256``.  A null text counts as empty and
-    has no tokens; any other column is left out.  One narrow stage, no shuffle.
+    has no tokens; rows that repeat an id or a text each give their own row, a
+    null id stays null; any other column is left out.  Long texts are encoded in
+    segments, so memory follows ``SEGMENT`` beside the text itself.  One narrow
+    stage, no shuffle.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
+    shared = share(documents.sparkSession, Vocabulary(vocabulary))
     schema = "doc_id long, n_tokens long, ids_sha256 string, " + ("decoded string, ids array<int>" if with_ids else "decoded_sha256 string")
-    return docs.mapInArrow(_codec(vocabulary, shared, with_ids), schema)
+    return docs.mapInArrow(_codec(shared, with_ids), schema)
 
 
 def vocabulary_path() -> str:
@@ -265,6 +304,4 @@ def vocabulary_path() -> str:
 
 
 def op3_bpe(spark, sf_dir):
-    from .tables import table
-
     return encode(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
