@@ -147,9 +147,14 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.count("*").alias("size"), *least).filter("size > 1").select("node", "size", F.struct(*MEMBER).alias("y"))
 
 
-def _candidates(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of nodes with two or more documents, with the node's size and least document."""
+    return cut(rows.select("node", *MEMBER).join(nodes, "node"))
+
+
+def _candidates(found: DataFrame) -> DataFrame:
     """Pairs of small nodes, and each document of a larger one with its least document."""
-    found = rows.select("node", F.struct(*MEMBER).alias("x")).join(nodes, "node")
+    found = found.select("node", "size", F.struct(*MEMBER).alias("x"), "y")
     star = _pairs(found.filter("x.doc <> y.doc").filter(_close("x", "y")))
     lists = found.filter((F.col("size") > 2) & (F.col("size") <= SMALL)).groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("all"))
     each = F.expr(f"flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, {SMALL}), y -> {_close('x', 'y')}), y -> struct(x.doc as a, y.doc as b))))")
@@ -198,13 +203,12 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
     full = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy("name").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "sig")]))
     rows = classes.select(*MEMBER, "sig").mapInArrow(_first_levels, ROW)
-    nodes = cut(_nodes(rows))
-    pairs = cut(_candidates(rows, nodes))
+    found = _shared(rows, cut(_nodes(rows)))
+    pairs = cut(_candidates(found))
     links = _links(docs, pairs, n_words, threshold).union(_same_document(full, classes))
     groups = cut(components(links))
     for level in range(DEPTH, DEEPEST + 1):
-        large = nodes.filter(F.col("size") > SMALL).select("node")
-        again, stuck = _unsettled(rows.join(large, "node"), groups, level == DEEPEST)
+        again, stuck = _unsettled(found.filter(F.col("size") > SMALL).select("node", *MEMBER), groups, level == DEEPEST)
         stuck = cut(_across(stuck))
         more, settled = None, stuck.isEmpty()
         if not settled:
@@ -213,8 +217,8 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
             sigs = again.join(classes.select("doc", "sig"), "doc").select("node", *MEMBER, "sig")
             rows = cut(sigs.mapInArrow(_next_level(level), ROW))
             if not rows.isEmpty():
-                nodes = cut(_nodes(rows))
-                more = cut(_candidates(rows, nodes).join(pairs, ["a", "b"], "left_anti"))
+                found = _shared(rows, cut(_nodes(rows)))
+                more = cut(_candidates(found).join(pairs, ["a", "b"], "left_anti"))
                 pairs = pairs.union(more)
                 links = links.union(_links(docs, more, n_words, threshold))
         if more is not None or not settled:
@@ -237,19 +241,21 @@ def _same_document(full: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _unsettled(rows: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows of large nodes that must branch again, and those that end here, with ``component`` and ``apart``.
+    """Rows of large nodes that must branch again, and those that end here, with ``component``, ``apart`` and the numbers of blocks.
 
     ``apart`` marks documents outside the node's main component: every pair that
     could still join two components has one of them.
     """
     large = rows.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     large = cut(large)
-    ends = large.groupBy("node").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count("*").alias("size")).filter("main < other")
-    large = large.join(ends.select("node", "main", "size"), "node").withColumn("apart", F.col("component") != F.col("main"))
-    work = large.filter("apart").groupBy("node").agg((F.count("*") * F.max("size")).alias("work"))
-    large = large.join(work, "node")
+    parts = large.groupBy("node", "component").agg(F.count("*").alias("part"))
+    ends = parts.groupBy("node").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.sum("part").alias("size"), F.min_by("part", "component").alias("part"))
+    away = F.col("size") - F.col("part")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    ends = ends.filter("main < other").select("node", "main", (away * F.col("size")).alias("work"), blocks(F.col("size")).alias("all"), blocks(away).alias("some"))
+    large = large.join(ends, "node").withColumn("apart", F.col("component") != F.col("main"))
     stop = F.lit(True) if last else F.col("work") <= WORK
-    return large.filter(~stop).select("node", *MEMBER), large.filter(stop).select("node", *MEMBER, "component", "apart")
+    return large.filter(~stop).select("node", *MEMBER), large.filter(stop).select("node", *MEMBER, "component", "apart", "all", "some")
 
 
 def _meet(pdf):
@@ -270,15 +276,11 @@ def _across(stuck: DataFrame) -> DataFrame:
 
     Documents set apart meet all of their node in blocks of ``BLOCK`` short rows.
     """
-    here = F.col("apart")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = stuck.groupBy("node").agg(blocks(F.count("*")).alias("all"), blocks(F.count_if(here)).alias("some"))
-    rows = stuck.join(sizes, "node")
     block = lambda n: F.pmod(F.xxhash64("doc", F.lit(5)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     names = ["node", *MEMBER, "component", "apart"]
-    left = rows.filter(here).select(*names, F.lit(0).alias("side"), block("some").alias("i"), every("all").alias("j"))
-    right = rows.select(*names, F.lit(1).alias("side"), block("all").alias("j"), every("some").alias("i"))
+    left = stuck.filter("apart").select(*names, F.lit(0).alias("side"), block("some").alias("i"), every("all").alias("j"))
+    right = stuck.select(*names, F.lit(1).alias("side"), block("all").alias("j"), every("some").alias("i"))
     tasks = left.unionByName(right).withColumn("task", F.xxhash64("node", "i", "j"))
     return tasks.groupBy("node", "task").applyInPandas(_meet, "node long, doc long, apart boolean").distinct()
 
