@@ -76,17 +76,22 @@ def rank(
     accumulated by ranges of the value, and rows look their value up.  ``first``
     numbers ties within each value.
     """
+    if method == "first" and not order:
+        raise ValueError("method 'first' needs an order")
     c = value(df, column)
     names = by or []
     if by:
         return _rank_window(df, c, method, order, names, na_option, ascending, pct, into)
     # a missing value has its own place: none, before or behind all others
     counts = df.select(c.alias("__v")).groupBy("__v").agg(F.count("*").alias("__n"))
-    present = counts.filter("__v is not null").withColumn("__o", F.col("__v") if ascending else -F.col("__v").cast("double"))
-    sums = running(present, ["__o"], {"__upto": ("sum", F.col("__n")), "__dense": ("count", F.col("__n"))})
+    present = counts.filter("__v is not null")
+    sums = running(present, ["__v"], {"__upto": ("sum", F.col("__n")), "__dense": ("count", F.col("__n"))})
     ends = present.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__all"), F.count("*").alias("__distinct"))
     missing = counts.filter("__v is null").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__missing"))
     held = df.withColumn("__v", c).join(sums.select("__v", "__n", "__upto", "__dense"), "__v", "left").crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(missing))
+    if not ascending:
+        # what isn't smaller than a value, from what isn't larger: holds for any type that can be ordered
+        held = held.withColumns({"__upto": F.col("__all") - F.col("__upto") + F.col("__n"), "__dense": F.col("__distinct") - F.col("__dense") + 1})
     gone = F.col("__v").isNull()
     n = F.when(gone, F.col("__missing")).otherwise(F.col("__n"))
     shift = F.col("__missing") if na_option == "top" else F.lit(0)

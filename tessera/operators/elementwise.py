@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import value
 
-#: Longer value lists are joined instead of written into the plan.
-INLINE = 1000
-
 
 def isin(df: DataFrame, values, columns: list[str] | None = None) -> DataFrame:
     """Whether each cell is among ``values``: a list for all columns, a dict of lists by column, or a DataFrame's first column.
 
-    Missing cells give false, or true if the list has a missing value.
+    Missing cells give false, or true if the list has a missing value.  Lists
+    stand in the plan as a hashed set; long ones are better given as a DataFrame,
+    which is joined.
     """
     names = columns or df.columns
     if isinstance(values, DataFrame):
@@ -32,10 +31,7 @@ def isin(df: DataFrame, values, columns: list[str] | None = None) -> DataFrame:
         given = values.get(n, []) if isinstance(values, dict) else list(values)
         present = [v for v in given if v is not None and v == v]
         c = value(df, n)
-        if len(present) > INLINE:
-            hit = F.array_contains(F.lit(present), c)
-        else:
-            hit = c.isin(present) if present else F.lit(False)
+        hit = c.isin(present) if present else F.lit(False)
         tests[n] = F.when(c.isNull(), F.lit(len(present) < len(given))).otherwise(hit)
     return df.withColumns(tests)
 

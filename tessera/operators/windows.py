@@ -48,6 +48,8 @@ class Frame:
         return self.size if self.size is not None else 1
 
     def rows(self) -> WindowSpec:
+        if self.duration is not None:
+            raise ValueError("a duration has no number of rows")
         w = Window.partitionBy(*self.by).orderBy(*self.order)
         if self.size is None:
             return w.rowsBetween(Window.unboundedPreceding, 0)
@@ -59,6 +61,19 @@ class Frame:
             high -= 1
         return w.rowsBetween(low, high)
 
+    def spans(self) -> list[WindowSpec]:
+        """The Spark windows, over ``__t``, that make up a duration: strictly earlier times within reach and the same time up to the current row; centred, one."""
+        by, reach = Window.partitionBy(*self.by), self.duration
+        if self.center:
+            half = reach // 2
+            return [by.orderBy("__t").rangeBetween(-half + (self.closed not in ("both", "left")), half - (self.closed not in ("both", "right")))]
+        past = by.orderBy("__t").rangeBetween(-reach if self.closed in ("both", "left") else -(reach - 1), -1)
+        peers = Window.partitionBy(*self.by, "__t").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        return [past, peers] if self.closed in ("right", "both") else [past]
+
+    def timed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("__t", F.unix_micros(F.col(self.on).cast("timestamp")))
+
 
 def rolling(order, size=None, duration=None, by=(), **kw) -> Frame:
     """A moving window of ``size`` rows or of a ``duration`` ('2h', '30min', '1d' or microseconds) over ``on``."""
@@ -127,37 +142,35 @@ def _over_time(df: DataFrame, frame: Frame, out: dict, options: dict) -> DataFra
     Values of the frame are those of strictly earlier times within reach, and of
     the same time up to the current row; both are collected and folded together.
     """
-    width = frame.duration
-    t = F.unix_micros(F.col(frame.on).cast("timestamp"))
-    held = df.withColumn("__t", t)
-    low = -width if frame.closed in ("both", "left") else -(width - 1)
-    past = Window.partitionBy(*frame.by).orderBy("__t").rangeBetween(low, -1)
-    peers = Window.partitionBy(*frame.by, "__t").orderBy(*frame.order).rowsBetween(Window.unboundedPreceding, 0)
-    with_peers = frame.closed in ("right", "both")
-    add = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) if with_peers else F.coalesce(a, F.lit(0))
+    held, spans = frame.timed(df), frame.spans()
+    whole = lambda f: [f.over(w) for w in spans]
+    add = lambda f: _total(whole(f))
     made = {}
     for name, (n, o) in out.items():
         c = value(df, n)
-        count = add(F.count(c).over(past), F.count(c).over(peers))
-        both = lambda f: F.array_compact(F.array(f(c).over(past), f(c).over(peers)) if with_peers else F.array(f(c).over(past)))  # noqa: B023, E731
+        count = add(F.count(c))
         if o == "count":
             made[name] = count
             continue
         if o in ("sum", "mean"):
-            total = add(F.sum(c).over(past), F.sum(c).over(peers))
+            total = add(F.sum(c))
             v = total if o == "sum" else total / F.nullif(count, F.lit(0))
         elif o in ("min", "max"):
-            v = (F.array_min if o == "min" else F.array_max)(both(F.min if o == "min" else F.max))
+            v = F.array_min(F.array(*whole(F.min(c)))) if o == "min" else F.array_max(F.array(*whole(F.max(c))))
         else:
             from .reduce import row_expression
 
-            lists = F.collect_list(c).over(past)
-            values = (F.concat(lists, F.collect_list(c).over(peers)) if with_peers else lists).cast("array<double>")
+            values = F.concat(*whole(F.collect_list(c))).cast("array<double>")
             v = _list_op(o, values, c, row_expression, options)
         made[name] = F.when(count >= frame.least, v)
     return held.withColumns(made)
 
 
+def _total(parts: list[Column]) -> Column:
+    """Sum of what each window gives, an empty one nothing."""
+    return sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
+
+
 def _list_op(op: str, values: Column, c: Column, expression, options: dict) -> Column:
     if op == "rank":
         before, same = F.size(F.filter(values, lambda v: v < c)), F.size(F.filter(values, lambda v: v == c))
@@ -175,6 +188,8 @@ def _list_op(op: str, values: Column, c: Column, expression, options: dict) -> C
 
 def roll_cov(df: DataFrame, frame: Frame, a: str, b: str, into: str = "cov", ddof: int = 1, correlate: bool = False) -> DataFrame:
     """Covariance (or correlation) of two columns over the frame, of the rows that have both."""
+    if frame.duration is not None:
+        return _cov_over_time(df, frame, a, b, into, ddof, correlate)
     w = frame.rows()
     x, y = F.when(value(df, b).isNotNull(), value(df, a)), F.when(value(df, a).isNotNull(), value(df, b))
     n = F.count(x).over(w)
@@ -186,6 +201,22 @@ def roll_cov(df: DataFrame, frame: Frame, a: str, b: str, into: str = "cov", ddo
     return df.withColumn(into, F.when(n >= frame.least, v))
 
 
+def _cov_over_time(df: DataFrame, frame: Frame, a: str, b: str, into: str, ddof: int, correlate: bool) -> DataFrame:
+    """From counts, sums and sums of products about the group's means, which add up over the parts of a duration."""
+    whole = Window.partitionBy(*frame.by)
+    x, y = F.when(value(df, b).isNotNull(), value(df, a)), F.when(value(df, a).isNotNull(), value(df, b))
+    held = frame.timed(df).withColumns({"__x": (x - F.avg(x).over(whole)).cast("double"), "__y": (y - F.avg(y).over(whole)).cast("double")})
+    add = lambda c: _total([F.sum(c).over(w) for w in frame.spans()])
+    sums = {"__n": add((F.col("__x") * 0 + 1)), "__sx": add(F.col("__x")), "__sy": add(F.col("__y")), "__sxy": add(F.col("__x") * F.col("__y")), "__sxx": add(F.col("__x") ** 2), "__syy": add(F.col("__y") ** 2)}
+    held, n = held.withColumns(sums), F.nullif(F.col("__n"), F.lit(0.0))
+    about = lambda p, q, pq: F.col(pq) - F.col(p) * F.col(q) / n
+    if correlate:
+        v = F.try_divide(about("__sx", "__sy", "__sxy"), F.sqrt(about("__sx", "__sx", "__sxx") * about("__sy", "__sy", "__syy")))
+    else:
+        v = about("__sx", "__sy", "__sxy") / F.nullif(n - ddof, F.lit(0.0))
+    return held.withColumn(into, F.when(F.col("__n") >= frame.least, v)).select(*df.columns, into)
+
+
 def roll_apply(df: DataFrame, frame: Frame, func: Callable, column: str, into: str, raw: bool = False, args: tuple = (), **kwargs) -> DataFrame:
     """A user's function (Series, or array with ``raw``, to a number) of the frame's values."""
 
@@ -193,7 +224,13 @@ def roll_apply(df: DataFrame, frame: Frame, func: Callable, column: str, into: s
         s = s.dropna()
         return float(func(s.to_numpy() if raw else s, *args, **kwargs)) if len(s) else None
 
-    w, c = frame.rows(), value(df, column)
+    c = value(df, column)
+    if frame.duration is not None:
+        each = F.pandas_udf(lambda lists: lists.map(lambda x: run(pd.Series(x, dtype="float64"))).astype("float64"), "double")
+        values = F.concat(*[F.collect_list(c.cast("double")).over(w) for w in frame.spans()])
+        made = frame.timed(df).withColumn("__list", values).withColumn(into, each("__list"))
+        return made.withColumn(into, F.when((F.size("__list") >= max(1, frame.least)) & ~F.isnan(into), F.col(into))).select(*df.columns, into)
+    w = frame.rows()
     udaf = F.pandas_udf(run, "double", F.PandasUDFType.GROUPED_AGG)
     made = df.withColumn("__v", c.cast("double")).withColumn("__n", F.count("__v").over(w)).withColumn(into, udaf("__v").over(w))
     return made.withColumn(into, F.when(F.col("__n") >= frame.least, F.col(into))).select(*df.columns, into)
@@ -252,7 +289,7 @@ def weights(kind: str, n: int, **options: float) -> tuple[float, ...]:
 
 
 def roll_weighted(df: DataFrame, frame: Frame, op: str, column: str, into: str, ddof: int = 1) -> DataFrame:
-    """``mean sum std var`` of the frame's values times ``frame.weights`` (as many as rows). Missing values count nothing.
+    """``mean sum std var`` of the frame's values times ``frame.weights`` (as many as rows, so not of a duration). Missing values count nothing.
 
     The frame's rows are collected with their places (it has ``size`` of them at
     most) and weighted by array expressions.

@@ -7,33 +7,44 @@ the parts' totals (one row per part) give every part its starting value.
 
 from __future__ import annotations
 
-import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: name -> (aggregate, how a part's value meets what came before, neutral value)
+#: name -> (aggregate, how a part's value meets what came before)
 FOLDS = {
-    "sum": (F.sum, lambda a, b: a + b, 0.0),
-    "prod": (F.product, lambda a, b: a * b, 1.0),
-    "min": (F.min, F.least, math.inf),
-    "max": (F.max, F.greatest, -math.inf),
-    "count": (F.count, lambda a, b: a + b, 0.0),
+    "sum": (F.sum, lambda a, b: a + b),
+    "prod": (F.product, lambda a, b: a * b),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+    "count": (F.count, lambda a, b: a + b),
 }
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a copy in the session's ``spark.checkpoint.dir``, which survives lost executors; a temporary folder serves a local session without one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def running(df: DataFrame, order: list[str], folds: dict[str, tuple[str, Column]], parts: int | None = None) -> DataFrame:
     """``df`` with, for each ``out: (fold, column)``, the fold of all rows up to and including each row.
 
     ``order`` must end in a unique key.  NULLs are skipped; before the first
-    value the result is NULL (0 for ``count``).
+    value the result is NULL (0 for ``count``).  Integers stay integers.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    values = {f"__v_{out}": column.cast("double") if fold != "count" else column for out, (fold, column) in folds.items()}
-    # a row's part must not change between the two passes: it is kept in a table
-    dealt = df.withColumns(values).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
+    values = {f"__v_{out}": column for out, (_, column) in folds.items()}
+    # a row's part must not change between the two passes, so range boundaries are sampled once
+    dealt = written(df.withColumns(values).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     totals = dealt.groupBy("__part").agg(*[FOLDS[fold][0](f"__v_{out}").alias(out) for out, (fold, _) in folds.items()])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("__part", *[(F.sum if fold == "count" else FOLDS[fold][0])(out).over(before).alias(f"__s_{out}") for out, (fold, _) in folds.items()])
@@ -42,8 +53,7 @@ def running(df: DataFrame, order: list[str], folds: dict[str, tuple[str, Column]
     both = dealt.join(F.broadcast(starts), "__part")
     out = {}
     for name, (fold, _) in folds.items():
-        f, meet, neutral = FOLDS[fold]
+        f, meet = FOLDS[fold]
         here, start = f(f"__v_{name}").over(inside), F.col(f"__s_{name}")
-        known = here.isNotNull() | start.isNotNull()
-        out[name] = F.when(known, meet(F.coalesce(start.cast("double"), F.lit(neutral)), F.coalesce(here.cast("double"), F.lit(neutral))))
+        out[name] = F.coalesce(meet(start, here), start, here)
     return both.select(*df.columns, *[c.alias(n) for n, c in out.items()])

@@ -248,3 +248,44 @@ def test_merge(spark, how):
     assert key(got[want.columns].assign(v_x=got["v_x"].astype(float), v_y=got["v_y"].astype(float))) == key(want.assign(v_x=want["v_x"].astype(float), v_y=want["v_y"].astype(float), _merge=want["_merge"].astype(str)))
     with pytest.raises(ValueError):
         jo.merge(spark.createDataFrame([(1,), (1,)], "k int"), spark.createDataFrame([(1,)], "k int"), validate="1:1")
+
+
+def test_time_windows_of_apply_cov_and_centre(spark):
+    """Durations against pandas, also where several rows share a time."""
+    rng = np.random.default_rng(8)
+    t = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 600, 80)), unit="min")
+    pdf = pd.DataFrame({"id": range(80), "t": t, "x": rng.normal(size=80), "y": rng.normal(size=80)})
+    pdf.loc[::9, "x"] = np.nan
+    df = spark.createDataFrame(pdf.assign(g=1))
+    roll, times = wi, pdf.set_index("t")
+    for closed in ("right", "both", "left", "neither"):
+        frame = roll.rolling(["t", "id"], duration="90min", by=["g"], on="t", closed=closed, min_periods=2)
+        moving = times[["x", "y"]].rolling("90min", closed=closed, min_periods=2)
+        got = roll.roll_apply(df, frame, lambda s: s.max() - s.min(), "x", "z").orderBy("id").toPandas()["z"]
+        if closed in ("right", "both"):
+            # pandas lets later rows of the same time in where the end is open, so only closed ends are compared
+            assert np.allclose(got.astype(float), moving["x"].apply(lambda s: np.nanmax(s) - np.nanmin(s)), equal_nan=True)
+            both = times.where(times["x"].notna())
+            want = both["x"].rolling("90min", closed=closed, min_periods=2).cov(both["y"])
+            cov = roll.roll_cov(df, frame, "x", "y").orderBy("id").toPandas()["cov"]
+            assert np.allclose(cov.astype(float), want, equal_nan=True)
+    for op in ("sum", "mean", "max", "median", "std"):
+        frame = roll.rolling(["t", "id"], duration="2h", by=["g"], on="t", center=True)
+        got = roll.roll(df, frame, op, ["x"]).orderBy("id").toPandas()[f"x_{op}"]
+        assert np.allclose(got.astype(float), getattr(times["x"].rolling("2h", center=True), op)(), equal_nan=True)
+    with pytest.raises(ValueError, match="duration"):
+        roll.roll_weighted(df, roll.rolling(["t", "id"], duration="2h", on="t", weights=(1.0, 1.0)), "sum", "x", "z").collect()
+
+
+def test_ranks_of_strings_and_running_longs(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c"), (4, "b"), (5, None)], "id long, s string")
+    got = {r["id"]: r["rank"] for r in ac.rank(df, "s", ascending=False).collect()}
+    assert got == {1: 2.5, 2: 4.0, 3: 1.0, 4: 2.5, 5: None}
+    with pytest.raises(ValueError, match="order"):
+        ac.rank(df, "s", method="first")
+    from tessera.plans.ordered import running
+
+    big = spark.createDataFrame([(i, 2**60 + i) for i in range(6)], "id long, v long")
+    rows = running(big, ["id"], {"top": ("max", F.col("v")), "low": ("min", F.col("v")), "n": ("count", F.col("v"))}, parts=3).collect()
+    assert {r["id"]: (r["top"], r["low"], r["n"]) for r in rows} == {i: (2**60 + i, 2**60, i + 1) for i in range(6)}
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
