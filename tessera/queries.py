@@ -267,12 +267,14 @@ query("chunk_apply_bykey", "events", "SELECT user_id, CAST(count(*) AS BIGINT) A
 )
 
 # joins
+# whole tables with keys that the other side lacks: every third customer of an order, and every second customer, has another number
+_ok, _ck = "CASE WHEN o_custkey % 3 = 0 THEN -o_custkey ELSE o_custkey END", "CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 1000000000 END"
 for _how, _join in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():
-    query(f"merge_{_how}", "orders customer", f"SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o.k AS k, c_name FROM (SELECT o_orderkey, o_custkey AS k FROM orders WHERE o_custkey % 3 <> 0) o {_join} (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 2 = 0) c ON o.k = c.k".replace("o.k AS k", "coalesce(o.k, c.k) AS k"))(
-        lambda o, c, how=_how: jo.merge(o.filter("o_custkey % 3 <> 0").select("o_orderkey", F.col("o_custkey").alias("k")), c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name"), how, ["k"]).withColumn("o_orderkey", F.col("o_orderkey").cast("double"))
+    query(f"merge_{_how}", "orders customer", f"SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, coalesce(o.k, c.k) AS k, c_name FROM (SELECT o_orderkey, {_ok} AS k FROM orders) o {_join} (SELECT {_ck} AS k, c_name FROM customer) c ON o.k = c.k")(
+        lambda o, c, how=_how: jo.merge(o.select("o_orderkey", F.expr(_ok).alias("k")), c.select(F.expr(_ck).alias("k"), "c_name"), how, ["k"]).withColumn("o_orderkey", F.col("o_orderkey").cast("double"))
     )
-query("merge_indicator", "orders customer", "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, CAST(c_custkey AS DOUBLE) AS c_custkey, CASE WHEN o_orderkey IS NULL THEN 'right_only' WHEN c_custkey IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 <> 0) FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(
-    lambda o, c: jo.merge(o.filter("o_custkey % 3 <> 0").select("o_orderkey", "o_custkey"), c.filter("c_custkey % 2 = 0").select("c_custkey"), "outer", left_on=["o_custkey"], right_on=["c_custkey"], indicator=True).select(*[F.col(c).cast("double").alias(c) for c in ("o_orderkey", "o_custkey", "c_custkey")], "_merge")
+query("merge_indicator", "orders customer", f"SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(ok AS DOUBLE) AS o_custkey, CAST(ck AS DOUBLE) AS c_custkey, CASE WHEN o_orderkey IS NULL THEN 'right_only' WHEN ck IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM (SELECT o_orderkey, {_ok} AS ok FROM orders) FULL JOIN (SELECT {_ck} AS ck FROM customer) ON ok = ck")(
+    lambda o, c: jo.merge(o.select("o_orderkey", F.expr(_ok).alias("o_custkey")), c.select(F.expr(_ck).alias("c_custkey")), "outer", left_on=["o_custkey"], right_on=["c_custkey"], indicator=True).select(*[F.col(c).cast("double").alias(c) for c in ("o_orderkey", "o_custkey", "c_custkey")], "_merge")
 )
 query("merge_suffixes", "nation region", "SELECT n_regionkey AS k, n_name AS name_n, r_name AS name_r FROM nation JOIN region ON n_regionkey = r_regionkey")(
     lambda n, r_: jo.merge(n.select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name")), r_.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), on=["k"], suffixes=("_n", "_r"), validate="m:1")
@@ -408,7 +410,6 @@ for _op in ("var", "std"):
 query("ewm_native", "events", SQL["ewm_mean"])(lambda df: rounded(ew.ewm_native(df, EV, "value", ["user_id"], "y", span=5).select("event_id", "y")))
 
 # strings
-_words = "substr(text, 1, 200)"
 
 
 def _strings(name, made: Callable[[], dict], sql: dict, table="documents", key="doc_id"):
@@ -426,7 +427,7 @@ _strings("zfill", lambda: {"a": st.zfill(F.col("s_acctbal").cast("int").cast("st
 _strings("contains", lambda: {"a": st.contains("text", "token", regex=False), "b": st.contains("text", "[0-9]{4}"), "c": st.startswith("text", ("The", "A")), "d": st.endswith("text", "."), "e": st.match("text", "[A-Z]"), "f": st.fullmatch("source", "src[0-9]+")},
          {"a": "contains(text, 'token')", "b": "regexp_matches(text, '[0-9]{4}')", "c": "starts_with(text, 'The') OR starts_with(text, 'A')", "d": "ends_with(text, '.')", "e": "regexp_matches(text, '^[A-Z]')", "f": "regexp_full_match(source, 'src[0-9]+')"})
 _strings("count", lambda: {"n": st.count("text", "th")}, {"n": "CAST((length(text) - length(replace(text, 'th', ''))) / 2 AS INT)"})
-_strings("find", lambda: {"a": st.find("text", "the"), "b": st.rfind(F.substr("text", F.lit(1), F.lit(200)), "e")}, {"a": "CAST(instr(text, 'the') - 1 AS INT)", "b": f"CAST(CASE WHEN instr(reverse({_words}), 'e') = 0 THEN -1 ELSE length({_words}) - instr(reverse({_words}), 'e') END AS INT)"})
+_strings("find", lambda: {"a": st.find("text", "the"), "b": st.rfind("text", "e")}, {"a": "CAST(instr(text, 'the') - 1 AS INT)", "b": "CAST(CASE WHEN NOT contains(text, 'e') THEN -1 ELSE length(regexp_extract(text, '^(.*)e', 1, 's')) END AS INT)"})
 _strings("replace", lambda: {"a": st.replace("source", "src", "s"), "b": st.replace("source", "([a-z]+)([0-9]+)", r"\2\1", regex=True), "c": st.translate("source", {"s": "S", "r": None})},
          {"a": "replace(source, 'src', 's')", "b": r"regexp_replace(source, '([a-z]+)([0-9]+)', '\2\1', 'g')", "c": "translate(source, 'sr', 'S')"})
 _strings("slice", lambda: {"a": st.slice("text", 2, 9), "b": st.slice("text", -5), "c": st.get("text", 3), "d": st.get("text", -1), "e": st.slice_replace("source", 1, 2, "_")},
