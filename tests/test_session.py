@@ -51,3 +51,20 @@ def test_queries_match_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.SQL[name]).df()
     key = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).values.tolist()))
     assert key(got) == key(want)
+
+
+def test_queries_without_the_optional_folders(tmp_path):
+    """A copy without the text subpackage registers the other queries, with and without the pipeline's file."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root, copy = pathlib.Path(__file__).resolve().parent.parent, tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), set(s) <= set(q), any(n.startswith('op') or n == 'pipeline' for n in q))"
+    for _ in range(2):
+        said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert said.returncode == 0, said.stderr
+        assert said.stdout.split()[1:] == ["True", "False"] and int(said.stdout.split()[0]) > 190
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
