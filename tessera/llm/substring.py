@@ -9,8 +9,8 @@ Documents are dealt once by id into groups of about ``GROUP_BYTES`` input bytes.
 1. Each group sends the distinct minimisers of its documents to buckets, which
    return those that occur in two or more documents. Equal windows have equal
    minimisers, so all other windows are unique.
-2. Each group sends its distinct super-k-mers with such minimisers, with the
-   least document that has each. A bucket unpacks the windows and sorts their
+2. Each group sends its distinct windows with such minimisers as super-k-mers,
+   with the least document that has each. A bucket unpacks the windows and sorts their
    words, byte by byte, which counts them exactly and finds each one's least
    document. It returns that for repeated windows.
 3. Each group removes words covered by windows whose least document is not
@@ -71,6 +71,14 @@ class Windows:
         one, two = (np.empty(0, U), np.empty(0, U)) if not len(chosen) else (grams(self.words.hash, self.n, salt)[self.at[chosen]] for salt in (62, 63))
         return one, two
 
+    def distinct(self, chosen):
+        """The first of equal chosen windows; one word repeated a thousand times makes a thousand of them."""
+        one, two = self.hashes(chosen)
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))[: len(chosen)]
+        return np.sort(chosen[order[new]])
+
     def runs(self, chosen, bucket):
         """(first window, last window, bucket) of each super-k-mer among the chosen windows."""
         if not len(chosen):
@@ -143,7 +151,7 @@ def _packed(window, core, buckets):
             return pd.DataFrame(columns=names)
         g, pdf = int(pdf["g"].iloc[0]), pdf[pdf["named"]].sort_values("doc_id", kind="stable")
         w = Windows(pdf["text"], window, core)
-        chosen = np.flatnonzero(_within(w.least, _union(reply, "shared")))
+        chosen = w.distinct(np.flatnonzero(_within(w.least, _union(reply, "shared"))))
         first, last, bucket = w.runs(chosen, w.buckets(_within(w.least, _union(reply, "hot")), buckets))
         ids, raw = pdf["doc_id"].to_numpy(), w.words.buffer.tobytes()
         starts, ends = w.words.start, w.words.end
