@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from .words import slices
 #: The public pre-tokenisation pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of the cache of pieces (an estimate by their length), characters encoded at a time.
-CACHE_BYTES, SEGMENT = 32_000_000, 1_000_000
+CACHE_BYTES, SEGMENT = 64_000_000, 2_000_000
 NONE = 1 << 60
 
 
@@ -201,7 +201,7 @@ class Encoder:
         start = np.flatnonzero(cut[:-1])
         length = np.diff(np.append(start, len(buffer)))
         found: list = [None] * len(start)
-        for low, high in ((0, 1), (1, 8), (8, 16), (16, 32), (32, 64)):
+        for low, high in pairwise((0, 1, 3, 5, 7, 9, 11, 13, 16, 20, 26, 36, 64)):
             rows = np.flatnonzero((length > low) & (length <= high))
             for at in range(0, len(rows), 50_000):
                 part = rows[at : at + 50_000]
