@@ -2,13 +2,15 @@
 
 A window is declared once (``Frame``) and turned into a Spark window per call:
 row frames for integer sizes, range frames over microseconds for durations.
-Results need ``min_periods`` values in the frame and are NULL with fewer.
+Without group keys the ordered rows are cut into blocks that also hold the rows
+their frames reach into, and each block is a group of its own.  Results need ``min_periods`` values in the frame and are NULL with fewer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,14 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.aggregates import aggregate, pick
 from ..functions.missing import numeric_columns, value
-
+from ..plans.ordered import running
+
+#: Rows of a block of an ordered table without group keys, at least; a block of a duration spans ``SPANS`` durations.
+BLOCK, SPANS = 1 << 16, 4
+HELPERS = ("__n", "__t", "__home", "__block")
+#: Sums of powers that an aggregate of all rows so far is made of.
+POWERS = {"var": 2, "std": 2, "sem": 2, "skew": 3, "kurt": 4}
+FROM_START = {*POWERS, "mean", "sum", "min", "max", "count", "prod"}
 OPS = ("mean", "sum", "min", "max", "std", "var", "median", "skew", "kurt", "sem", "quantile", "rank", "count", "nunique", "prod")
 
 
@@ -27,7 +36,9 @@ class Frame:
     """``size`` rows, or a ``duration`` in microseconds over the timestamp ``on``; neither: all rows up to the current one.
 
     ``order`` must end in a unique key.  ``by`` are the group keys; without them
-    all rows are one ordered sequence, dealt as a single partition.
+    all rows are one ordered sequence.  Only frames of all rows so far whose
+    aggregate doesn't add up (median, quantile, rank, distinct values, a user's
+    function) then take a single partition.
     """
 
     order: tuple[str, ...]
@@ -47,19 +58,25 @@ class Frame:
             return self.min_periods
         return self.size if self.size is not None else 1
 
+    @property
+    def bounded(self) -> bool:
+        return self.size is not None or self.duration is not None
+
     def rows(self) -> WindowSpec:
         if self.duration is not None:
             raise ValueError("a duration has no number of rows")
         w = Window.partitionBy(*self.by).orderBy(*self.order)
-        if self.size is None:
-            return w.rowsBetween(Window.unboundedPreceding, 0)
+        return w.rowsBetween(*self.bounds()) if self.size is not None else w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def bounds(self) -> tuple[int, int]:
+        """First and last row of the frame, counted from the current one."""
         shift = (self.size - 1) // 2 if self.center else 0
         low, high = shift - (self.size - 1), shift
         if self.closed in ("both", "left"):
             low -= 1
         if self.closed in ("left", "neither"):
             high -= 1
-        return w.rowsBetween(low, high)
+        return low, high
 
     def spans(self) -> list[WindowSpec]:
         """The Spark windows, over ``__t``, that make up a duration: strictly earlier times within reach and the same time up to the current row; centred, one."""
@@ -88,6 +105,83 @@ def microseconds(duration) -> int:
     return duration if isinstance(duration, int) else int(pd.Timedelta(duration) / pd.Timedelta(microseconds=1))
 
 
+def _dealt(df: DataFrame, frame: Frame) -> DataFrame:
+    """Rows in blocks of the order (``__block``, by place or time), copied to a neighbour where its frames reach them; ``__home`` is a row's own block."""
+    held = df
+    if frame.duration is None or frame.step > 1:
+        held = running(df, list(frame.order), {"__n": ("count", F.lit(1))}).withColumn("__n", F.col("__n") - 1)
+    if frame.duration is not None:
+        held, at = frame.timed(held), "__t"
+        before, after = (frame.duration // 2,) * 2 if frame.center else (frame.duration, 0)
+        width = SPANS * frame.duration
+    else:
+        low, high = frame.bounds()
+        at, before, after = "__n", max(0, -low), max(0, high)
+        width = max(BLOCK, before + after)
+    inside = F.pmod(F.col(at), F.lit(width))
+    home = F.col(at) - inside
+    blocks = F.array(home, F.when(inside >= width - before, home + width), F.when(inside < after, home - width))
+    # rows without a time stay, as a block of their own
+    return held.withColumn("__home", home).withColumn("__block", F.explode_outer(F.array_compact(blocks)))
+
+
+def in_blocks(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``run(df, frame, ...)`` with blocks for group keys where a bounded frame has none."""
+
+    @wraps(run)
+    def dealt(df: DataFrame, frame: Frame, *args, **kwargs) -> DataFrame:
+        if frame.by or not frame.bounded:
+            return run(df, frame, *args, **kwargs)
+        found = run(_dealt(df, frame), replace(frame, by=("__block",), step=1), *args, **kwargs)
+        found = found.filter(F.col("__home").eqNullSafe(F.col("__block")))
+        if frame.step > 1:
+            found = found.filter(F.col("__n") % frame.step == 0)
+        return found.drop(*HELPERS)
+
+    return dealt
+
+
+def _from_start(df: DataFrame, frame: Frame, out: dict, ddof: int) -> DataFrame:
+    """Frames of all rows so far, from running counts, extremes and sums of powers about the columns' means (one row)."""
+    names = sorted({n for n, _ in out.values()})
+    centre = df.agg(*[F.avg(value(df, n)).cast("double") for n in names]).first()
+    folds, made = {"__rows": ("count", F.lit(1))}, {}
+    for i, n in enumerate(names):
+        c, asked = value(df, n), {o for m, o in out.values() if m == n}
+        powers = max(POWERS.get(o, 0) for o in asked)
+        off = (c - F.lit(centre[i])).cast("double")
+        folds |= {f"__c{i}": ("count", c)} | {f"__p{i}_{k}": ("sum", F.pow(off, F.lit(float(k)))) for k in range(1, powers + 1)}
+        folds |= {f"__{o}{i}": (o, c) for o in ("min", "max") if o in asked or powers}
+        folds |= {f"__sum{i}": ("sum", c)} if asked & {"sum", "mean"} else {}
+        folds |= {f"__prod{i}": ("prod", c.cast("double"))} if "prod" in asked else {}
+    held = running(df, list(frame.order), folds)
+    for name, (n, o) in out.items():
+        i = names.index(n)
+        count = F.col(f"__c{i}")
+        v = count if o == "count" else _moment(o, i, count, ddof) if o in POWERS else F.col(f"__sum{i}") / F.nullif(count, F.lit(0)) if o == "mean" else F.col(f"__{o}{i}")
+        made[name] = F.when((F.col("__rows") if o == "count" else count) >= max(frame.least, o != "count"), v)
+    return held.withColumns(made).select(*df.columns, *made)
+
+
+def _moment(o: str, i: int, count: Column, ddof: int) -> Column:
+    n = F.nullif(count.cast("double"), F.lit(0.0))
+    e = [F.lit(1.0), *[F.col(f"__p{i}_{k}") / n for k in range(1, POWERS[o] + 1)]]
+    flat = F.col(f"__min{i}") == F.col(f"__max{i}")
+    m2 = F.when(flat, 0.0).otherwise(F.greatest(e[2] - e[1] * e[1], F.lit(0.0)))
+    if o in ("var", "std", "sem"):
+        over = F.when(count > ddof, m2 * n / F.nullif(n - ddof, F.lit(0.0)))
+        if o == "sem":
+            return F.when(count > ddof, F.sqrt(F.when(count > 1, m2 * n / F.nullif(n - 1, F.lit(0.0))) / F.nullif(n - ddof, F.lit(0.0))))
+        return F.sqrt(over) if o == "std" else over
+    if o == "skew":
+        m3 = e[3] - 3 * e[1] * e[2] + 2 * F.pow(e[1], F.lit(3.0))
+        v = F.try_divide(m3, F.pow(m2, F.lit(1.5))) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
+        return F.when(count >= 3, F.when(flat, 0.0).otherwise(v))
+    m4 = e[4] - 4 * e[1] * e[3] + 6 * e[1] * e[1] * e[2] - 3 * F.pow(e[1], F.lit(4.0))
+    v = ((n + 1) * (F.try_divide(m4, m2 * m2) - 3) + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
+    return F.when(count >= 4, F.when(flat, -3.0).otherwise(v))
+
+
 def _rank(c: Column, w: WindowSpec, method: str = "average", ascending: bool = True, pct: bool = False) -> Column:
     """Rank of the frame's last value within the frame."""
     values = F.collect_list(c).over(w)
@@ -110,22 +204,28 @@ def _one(op: str, c: Column, w: WindowSpec, options: dict) -> Column:
     return aggregate(op, c, w, **options)
 
 
+@in_blocks
 def roll(df: DataFrame, frame: Frame, op, columns: list[str] | None = None, suffix: str | None = None, **options) -> DataFrame:
     """``df`` with ``op`` over the frame for each column: a name, a list of names, or ``{column: names}``."""
-    names = columns or numeric_columns(df, (*frame.order, *frame.by))
+    names = columns or numeric_columns(df, (*frame.order, *frame.by, *HELPERS))
     asked = op if isinstance(op, dict) else {n: op for n in names}
     out = {}
     held = df
     for k in frame.by:
-        held = held.filter(value(df, k).isNotNull())
+        if k not in HELPERS:
+            held = held.filter(value(df, k).isNotNull())
     for n, ops in asked.items():
         for o in ops if isinstance(ops, (list, tuple)) else [ops]:
             end = suffix if suffix is not None else f"_{o}"
             out[f"{n}{end}"] = (n, o)
+    if not frame.by and not frame.bounded and frame.step == 1 and {o for _, o in out.values()} <= FROM_START and set(options) <= {"ddof"}:
+        return _from_start(held, frame, out, options.get("ddof", 1))
     if frame.duration is not None:
         return _stepped(_over_time(held, frame, out, options), frame, df.columns, list(out))
     w = frame.rows()
-    made = {name: F.when(F.count(value(df, n)).over(w) >= max(frame.least, 1 if o != "count" else 0), _one(o, value(df, n), w, options)) for name, (n, o) in out.items()}
+    # a count asks for so many rows, all else for so many values
+    enough = lambda n, o: F.count(F.lit(1) if o == "count" else value(df, n)).over(w) >= max(frame.least, o != "count")
+    made = {name: F.when(enough(n, o), _one(o, value(df, n), w, options)) for name, (n, o) in out.items()}
     return _stepped(held.withColumns(made), frame, df.columns, list(out))
 
 
@@ -186,6 +286,7 @@ def _list_op(op: str, values: Column, c: Column, expression, options: dict) -> C
     return expression(op, values, **({"ddof": options["ddof"]} if "ddof" in options else {}))
 
 
+@in_blocks
 def roll_cov(df: DataFrame, frame: Frame, a: str, b: str, into: str = "cov", ddof: int = 1, correlate: bool = False) -> DataFrame:
     """Covariance (or correlation) of two columns over the frame, of the rows that have both."""
     if frame.duration is not None:
@@ -217,6 +318,7 @@ def _cov_over_time(df: DataFrame, frame: Frame, a: str, b: str, into: str, ddof:
     return held.withColumn(into, F.when(F.col("__n") >= frame.least, v)).select(*df.columns, into)
 
 
+@in_blocks
 def roll_apply(df: DataFrame, frame: Frame, func: Callable, column: str, into: str, raw: bool = False, args: tuple = (), **kwargs) -> DataFrame:
     """A user's function (Series, or array with ``raw``, to a number) of the frame's values."""
 
@@ -288,6 +390,7 @@ def weights(kind: str, n: int, **options: float) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
+@in_blocks
 def roll_weighted(df: DataFrame, frame: Frame, op: str, column: str, into: str, ddof: int = 1) -> DataFrame:
     """``mean sum std var`` of the frame's values times ``frame.weights`` (as many as rows, so not of a duration). Missing values count nothing.
 

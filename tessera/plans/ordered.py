@@ -34,6 +34,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def parted(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` in written partitions, each a range of ``order`` in that order and numbered by ``__part``."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+
+
 def running(df: DataFrame, order: list[str], folds: dict[str, tuple[str, Column]], parts: int | None = None) -> DataFrame:
     """``df`` with, for each ``out: (fold, column)``, the fold of all rows up to and including each row.
 

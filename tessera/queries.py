@@ -407,6 +407,47 @@ for _op in ("var", "std"):
     query(f"ewm_{_op}", "events", f"SELECT event_id, CASE WHEN len(l) > 1 THEN {r(_v, 4)} END AS y FROM (SELECT event_id, l, {_m} AS m, {_den} AS d FROM {_lst})")(
         lambda df, op=_op: rounded(ew.ewm(df.select("event_id", "user_id", "ts", "value"), op, EV, ["value"], ["user_id"], span=5, suffix="_y").select("event_id", F.col("value_y").alias("y")), 4)
     )
+
+# the same of the whole table, without group keys
+_all5 = f"WINDOW w AS ({ORDER} ROWS 4 PRECEDING)"
+for _op in ("mean", "sum", "max", "std", "median", "sem", "skew", "kurt", "quantile"):
+    query(f"rolling_whole_{_op}", "events", f"SELECT event_id, {_need(r(_rolled[_op], 4))} AS y FROM events {_all5}")(
+        lambda df, op=_op: rounded(wi.roll(df, wi.rolling(EV, 5), op, ["value"], suffix="_y", **({"q": 0.3} if op == "quantile" else {})).select("event_id", F.col("value_y").cast("double").alias("y")), 4)
+    )
+query("rolling_whole_center", "events", f"SELECT event_id, {_need(r('avg(value) OVER w'))} AS y FROM events WINDOW w AS ({ORDER} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")(
+    lambda df: rounded(wi.roll(df, wi.rolling(EV, 5, center=True), "mean", ["value"], suffix="_y").select("event_id", F.col("value_y").alias("y")))
+)
+query("rolling_whole_step", "events", f"SELECT event_id, y FROM (SELECT event_id, {_need(r('avg(value) OVER w'))} AS y, row_number() OVER ({ORDER}) AS n FROM events {_all5}) WHERE (n - 1) % 3 = 0")(
+    lambda df: rounded(wi.roll(df, wi.rolling(EV, 5, step=3), "mean", ["value"], suffix="_y").select("event_id", F.col("value_y").alias("y")))
+)
+query("rolling_whole_cov", "events", f"SELECT event_id, {_need(r('covar_samp(value, CAST(user_id AS DOUBLE)) OVER w', 2))} AS y FROM events {_all5}")(
+    lambda df: rounded(wi.roll_cov(df.withColumn("e", F.col("user_id").cast("double")), wi.rolling(EV, 5), "value", "e", "y").select("event_id", "y"), 2)
+)
+query("rolling_whole_apply", "events", f"SELECT event_id, {_need(r('max(value) OVER w - min(value) OVER w'))} AS y FROM events {_all5}")(
+    lambda df: rounded(wi.roll_apply(df, wi.rolling(EV, 5), lambda s: s.max() - s.min(), "value", "y").select("event_id", "y"))
+)
+query("window_whole_triang_mean", "events", f"SELECT event_id, CASE WHEN len(l) = 5 THEN {r('s / 3.0')} END AS y FROM (SELECT event_id, l, " + " + ".join(f"l[{i + 1}] * {w!r}" for i, w in enumerate(_tri)) + f" AS s FROM (SELECT event_id, list(value) OVER w AS l FROM events {_all5}))")(
+    lambda df: rounded(wi.roll_weighted(df, wi.rolling(EV, 5, weights=wi.weights("triang", 5)), "mean", "value", "y").select("event_id", "y"))
+)
+# rows of one time count up to the current one: all of earlier times within reach, then those of the same time
+for _op, _f in (("sum", "sum(b.value)"), ("max", "max(b.value)"), ("std", "stddev_samp(b.value)")):
+    query(f"rolling_whole_time_{_op}", "events", f"SELECT a.event_id, {r(_f, 4)} AS y FROM events a JOIN events b ON b.ts > a.ts - INTERVAL '1 hour' AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id <= a.event_id)) GROUP BY a.event_id")(
+        lambda df, op=_op: rounded(wi.roll(df, wi.rolling(EV, duration="1h", on="ts"), op, ["value"], suffix="_y").select("event_id", F.col("value_y").alias("y")), 4)
+    )
+for _op in ("mean", "sum", "min", "max", "std", "var", "sem", "skew", "kurt"):
+    query(f"expanding_whole_{_op}", "events", f"SELECT event_id, {_need(r(_rolled[_op], 4), 4)} AS y FROM events WINDOW w AS ({ORDER} {_upto})")(
+        lambda df, op=_op: rounded(wi.roll(df, wi.expanding(EV, min_periods=4), op, ["value"], suffix="_y").select("event_id", F.col("value_y").cast("double").alias("y")), 4)
+    )
+# what is over 300 rows back has a weight below 1e-52
+_lst = f"(SELECT event_id, list(value) OVER ({ORDER} ROWS 300 PRECEDING) AS l FROM events)"
+for _op, _f in (("mean", r("list_sum(" + _wt.format(e="v") + ") / " + _den)), ("sum", r("list_sum(" + _wt.format(e="v") + ")"))):
+    query(f"ewm_whole_{_op}", "events", f"SELECT event_id, {_f} AS y FROM {_lst}")(
+        lambda df, op=_op: rounded(ew.ewm(df.select("event_id", "ts", "value"), op, EV, ["value"], span=5, suffix="_y").select("event_id", F.col("value_y").alias("y")))
+    )
+query("ewm_whole_std", "events", f"SELECT event_id, CASE WHEN len(l) > 1 THEN {r(_v, 4)} END AS y FROM (SELECT event_id, l, {_m} AS m, {_den} AS d FROM {_lst})")(
+    lambda df: rounded(ew.ewm(df.select("event_id", "ts", "value"), "std", EV, ["value"], span=5, suffix="_y").select("event_id", F.col("value_y").alias("y")), 4)
+)
+
 query("ewm_native", "events", SQL["ewm_mean"])(lambda df: rounded(ew.ewm_native(df, EV, "value", ["user_id"], "y", span=5).select("event_id", "y")))
 
 # strings

@@ -223,6 +223,51 @@ def test_ewm(df, pdf):
     same(rows(ew.ewm_native(df, ["row"], "c1", ["k"], "y", ignore_na=True, halflife=2), "y")["y"], want)
 
 
+def test_windows_without_groups(df, pdf, monkeypatch):
+    """Many small blocks give what pandas gives of the whole table, and no frame takes all rows into one partition."""
+    monkeypatch.setattr(wi, "BLOCK", 16)
+    for n in ("c0", "c1", "c3"):
+        for op in ("mean", "sum", "min", "max", "std", "median", "skew", "kurt", "count", "rank"):
+            for size, kw in ((5, {}), (5, {"min_periods": 2, "center": True}), (30, {"min_periods": 3, "closed": "both"}), (4, {"closed": "left", "min_periods": 1})):
+                if op == "rank" and kw:  # the last row of a frame is ranked, not the current one
+                    continue
+                want = getattr(pdf[n].rolling(size, **kw), op)()
+                same(rows(wi.roll(df, wi.rolling(["row"], size, **kw), op, [n], suffix="_y"), f"{n}_y")[f"{n}_y"].astype(float), want, 6)
+            if n == "c1" and op not in ("mean", "sum"):
+                break
+    for op in ("mean", "sum", "min", "max", "std", "var", "skew", "kurt", "count"):
+        want = getattr(pdf["c3"].expanding(4), op)()
+        same(rows(wi.roll(df, wi.expanding(["row"], min_periods=4), op, ["c3"], suffix="_y"), "c3_y")["c3_y"].astype(float), want, 6)
+    got = rows(wi.roll(df, wi.rolling(["row"], 5, step=7), "mean", ["c0"], suffix="_y"), "row", "c0_y")
+    assert got["row"].tolist() == list(range(0, 120, 7))
+    plan = wi.roll(df, wi.rolling(["row"], 5), "mean", ["c0"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1  # the parts' totals, a row for each
+
+
+def test_time_windows_without_groups(spark):
+    frame = pd.DataFrame({"row": range(60), "v": np.arange(60) % 7 * 1.0})
+    frame["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.cumsum(np.arange(60) * 13 % 11), unit="min")
+    df = spark.createDataFrame(frame).repartition(3)
+    for closed in ("right", "both", "left", "neither"):
+        for op in ("sum", "max", "std"):
+            want = getattr(frame.rolling("20min", on="ts", closed=closed)["v"], op)()
+            got = rows(wi.roll(df, wi.rolling(["ts", "row"], duration="20min", on="ts", closed=closed), op, ["v"], suffix="_y"), "v_y")["v_y"].astype(float)
+            if closed in ("left", "neither"):  # rows of one time don't see each other there
+                later = ~frame["ts"].duplicated().to_numpy()
+                got, want = got[later], want[later]
+            same(got, want)
+    got = rows(wi.roll(df, wi.rolling(["ts", "row"], duration="20min", on="ts", center=True, min_periods=1), "sum", ["v"], suffix="_y"), "v_y")["v_y"]
+    same(got.astype(float), frame.rolling("20min", on="ts", center=True)["v"].sum())
+
+
+def test_ewm_without_groups(df, pdf):
+    for op in ("mean", "sum", "std", "var"):
+        for ignore in (False, True):
+            want = getattr(pdf["c1"].ewm(com=2, ignore_na=ignore, min_periods=3), op)()
+            same(rows(ew.ewm(df, op, ["row"], ["c1"], ignore_na=ignore, com=2, min_periods=3, suffix="_y"), "c1_y")["c1_y"], want)
+    same(rows(ew.ewm(df, "var", ["row"], ["c0"], alpha=0.3, bias=True, suffix="_y"), "c0_y")["c0_y"], pdf["c0"].ewm(alpha=0.3).var(bias=True))
+
+
 def test_elementwise(spark, df, pdf):
     table = spark.createDataFrame([(0, "a", 1.0), (1, None, float("nan")), (2, "b", 2.0), (3, "a1", None)], "row int, s string, x double")
     got = rows(el.isin(table, ["a", None], ["s"]), "s")["s"].tolist()
