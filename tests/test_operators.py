@@ -121,6 +121,19 @@ def test_pct_change_and_fill(df, pdf):
     same(rows(ac.filled(df, ["row"], ["k"], ["c1"], "bfill", 1), "c1")["c1"], pdf.groupby("k")["c1"].transform(lambda s: s.bfill(limit=1)))
 
 
+def test_pct_change_after_zero(spark):
+    pdf = pd.DataFrame({"row": range(9), "k": 0, "x": [0.0, 0.0, 5.0, 0.0, -3.0, -0.0, 2.0, np.nan, 4.0], "n": [0, 0, 5, 0, -3, 0, 2, 2, 4]})
+    df = spark.createDataFrame(pdf).withColumn("d", F.col("n").cast("decimal(9, 2)"))
+    got = ac.pct_change(df, ["row"], ["k"], ["x", "n", "d"]).orderBy("row")
+    for n in ("x", "n"):
+        got_n = [r[0] for r in got.select(f"{n}_pct").collect()]
+        want = pdf[n].ffill().pct_change(fill_method=None)
+        # zero to zero is NaN, not missing as the first row is
+        assert got_n[0] is None and None not in got_n[1:] and np.isnan(got_n[1])
+        np.testing.assert_array_equal(got_n[1:], want[1:])
+    assert [r[0] is None for r in got.select("d_pct").collect()] == [True, True, True, False, True, False, True, False, False]
+
+
 def test_correlation(df, pdf):
     for method in ("pearson", "spearman"):
         got = co.correlation(df, method, COLS).toPandas().pivot(index="a", columns="b", values="value")
