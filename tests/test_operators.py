@@ -273,6 +273,31 @@ def test_time_windows_without_groups(spark):
     same(got.astype(float), frame.rolling("20min", on="ts", center=True)["v"].sum())
 
 
+def test_time_windows_of_moments(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"row": range(160), "v": rng.standard_normal(160).cumsum() ** 2 + 1e6, "n": rng.integers(0, 3, 160)})
+    pdf["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 200, 160)), unit="min")
+    pdf.loc[::7, "v"] = np.nan
+    pdf.loc[60:90, "v"] = 0.1
+    df = spark.createDataFrame(pdf).repartition(3)
+    for closed in ("right", "both", "left"):
+        frame = wi.rolling(["ts", "row"], duration="25min", on="ts", closed=closed)
+        held = wi.roll(df, frame, ["var", "std", "sem", "skew", "kurt"], ["v", "n"])
+        # a frame's values need not be collected, which takes as much as all frames together
+        assert "collect_list" not in held._jdf.queryExecution().toString()
+        got = held.orderBy("row").toPandas()
+        for i, t in enumerate(pdf["ts"]):
+            since = t - pd.Timedelta("25min")
+            past = (pdf["ts"] >= since if closed != "right" else pdf["ts"] > since) & ((pdf["ts"] < t) | ((pdf["ts"] == t) & (pdf["row"] <= i) & (closed != "left")))
+            for c in ("v", "n"):
+                x = pdf.loc[past, c].dropna()
+                for op in ("var", "std", "skew", "kurt"):
+                    # a frame's excess kurtosis of equal values is -3, as pandas' rolling has it
+                    want = {"kurt": -3.0 if len(x) > 3 else np.nan, "skew": 0.0 if len(x) > 2 else np.nan}.get(op, 0.0 if len(x) > 1 else np.nan) if x.nunique() == 1 else getattr(x, op)()
+                    same([got[f"{c}_{op}"].astype(float)[i]], [want], 6)
+                same([got[f"{c}_sem"].astype(float)[i]], [got[f"{c}_std"].astype(float)[i] / np.sqrt(len(x) - 1) if len(x) > 1 else np.nan], 6)
+
+
 def test_ewm_without_groups(df, pdf):
     for op in ("mean", "sum", "std", "var"):
         for ignore in (False, True):
