@@ -172,6 +172,17 @@ def test_groups(df, pdf):
     same(got["s"], g["c0"].sum())
 
 
+def test_first_of_equal_extremes(spark):
+    # keys that a double can't tell apart, and texts
+    big = 1 << 60
+    pdf = pd.DataFrame({"k": 0, "row": [big + 3, big + 1, big + 2, big + 4], "name": ["d", "b", "c", "a"], "x": [2.0, 2.0, 2.0, 1.0], "n": [7, 7, 7, -(1 << 63)]})
+    pdf["t"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(pdf["n"].clip(0), unit="us")
+    df = spark.createDataFrame(pdf).repartition(3).withColumn("d", F.col("x").cast("decimal(9, 2)")).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("x").cast("int")))
+    for order, first in ((["row"], big + 1), (["name"], big + 1)):
+        got = gr.group_agg(df, "k", order=order, label="row", **{c: (c, "idxmax") for c in ("x", "n", "d", "t", "day")}, low=("x", "idxmin")).first()
+        assert [got[c] for c in ("x", "n", "d", "t", "day")] == [first] * 5 and got["low"] == big + 4
+
+
 def test_pivot(df, pdf):
     pdf, df = pdf.assign(p=np.where(pdf["row"] % 3 == 0, "x", "y")), df.withColumn("p", F.when(F.col("row") % 3 == 0, "x").otherwise("y"))
     got = pv.pivot_table(df, ["c0", "c1"], "k", "p", ["mean", "max"], sort=True).toPandas().set_index("k")
