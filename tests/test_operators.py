@@ -295,7 +295,10 @@ def test_time_windows_of_moments(spark):
         frame = wi.rolling(["ts", "row"], duration="25min", on="ts", closed=closed)
         held = wi.roll(df, frame, ["var", "std", "sem", "skew", "kurt"], ["v", "n"])
         # a frame's values need not be collected, which takes as much as all frames together
-        assert "collect_list" not in held._jdf.queryExecution().toString()
+        plan = held._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan
+        # nor is a frame folded anew for each of its rows: both sides are running folds
+        assert "specifiedwindowframe(RangeFrame, -" not in plan and "specifiedwindowframe(RowFrame, -" not in plan
         got = held.orderBy("row").toPandas()
         for i, t in enumerate(pdf["ts"]):
             since = t - pd.Timedelta("25min")
@@ -309,6 +312,26 @@ def test_time_windows_of_moments(spark):
                 same([got[f"{c}_sem"].astype(float)[i]], [got[f"{c}_std"].astype(float)[i] / np.sqrt(len(x) - 1) if len(x) > 1 else np.nan], 6)
 
 
+def test_time_windows_across_cells(spark):
+    # times before 1970 and on both ends of a duration, rows without a time, keys that repeat
+    at = [-40, -20, -20, -1, 0, 19, 20, 20, 40, 60, 61]
+    pdf = pd.DataFrame({"row": [0, 1, 2, 3, 4, 5, 6, 6, 8, 9, 10], "v": [2.0**i for i in range(11)]})
+    pdf["ts"] = pd.Timestamp("1970-01-01") + pd.to_timedelta(at, unit="min")
+    df = spark.createDataFrame(pdf).withColumn("g", F.lit(1)).repartition(3)
+    lost = spark.createDataFrame([(11, float("nan"), 1)], "row long, v double, g int").selectExpr("row", "v", "CAST(NULL AS timestamp) AS ts", "g")
+    for closed in ("right", "both", "left", "neither"):
+        for by in ([], ["g"]):
+            got = wi.roll(df.unionByName(lost), wi.rolling(["ts", "row"], duration="20min", on="ts", by=by, closed=closed), ["sum", "count", "max"], ["v"]).toPandas()
+            assert len(got) == 12 and got["v"].sum() == 2**11 - 1
+            for i, t in enumerate(at):
+                past = [2.0**j for j, u in enumerate(at) if (t - 20 <= u if closed in ("both", "left") else t - 20 < u) and (u < t or (closed in ("right", "both") and u == t and pdf["row"][j] <= pdf["row"][i]))]
+                row = got[got["v"] == 2.0**i].iloc[0]
+                if i in (6, 7) and closed in ("right", "both"):  # either may come first
+                    assert row["v_sum"] in (sum(past), sum(past) - 2.0**6, sum(past) - 2.0**7)
+                else:
+                    assert row["v_count"] == len(past) and (row["v_sum"], row["v_max"]) == (sum(past), max(past)) if past else np.isnan(row["v_sum"])
+
+
 def test_ewm_without_groups(df, pdf):
     for op in ("mean", "sum", "std", "var"):
         for ignore in (False, True):
