@@ -64,3 +64,15 @@ def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     # ranks were random: name each component by its least node
     names = roots.groupBy("root").agg(F.min("node").alias("component"))
     return roots.join(names, "root").select("node", "component")
+
+
+def merged(groups: DataFrame, edges: DataFrame, finish: int = FINISH) -> DataFrame:
+    """``groups`` (``node, component``, as ``components`` gives them) with the edges ``a, b`` added: only components that the edges join are named anew."""
+    known = lambda n: groups.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    found = edges.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    found = cut(found.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    tops = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")), finish).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    found = found.filter("a <> b")
+    ends = found.select("a", "ca").union(found.select("b", "cb")).toDF("node", "component")
+    every = groups.select("node", "component").union(ends).distinct()
+    return every.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component"))

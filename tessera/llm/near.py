@@ -27,6 +27,7 @@ class and travel as one.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, merged
 from .learn import documents_text
 from .tables import cut
 from .words import Words, joined, lowered, mix, seeds, shingle_sets, slices
@@ -46,6 +47,8 @@ GROUP, WORDS, BLOCK = 1500, 4_000_000, 4000
 WORK = 20_000_000
 #: Document ids that may be broadcast (8 bytes each), after they are counted.
 BROADCAST = 500_000
+#: Documents whose sets are gathered before they are written, so that few sets don't make a file for each piece of the corpus.
+FEW = 20_000
 #: Sketch bits of 128 that may differ: at similarity 0.8 12.8 do so on average (deviation 4.1).
 SKETCH = 32
 
@@ -180,7 +183,7 @@ def _links(docs: DataFrame, pairs: DataFrame, n_words: int, threshold: int) -> D
     side = lambda n: sets.select(F.col("doc").alias(n), F.col("words").alias(f"w{n}"))
     common = F.size(F.array_intersect("wa", "wb"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * common >= threshold * (F.size("wa") + F.size("wb") - common))
-    return cut(found.select("a", "b").distinct())
+    return cut(found.select("a", "b").repartition("a", "b").distinct())
 
 
 def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80) -> DataFrame:
@@ -205,14 +208,13 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
     rows = classes.select(*MEMBER, "sig").mapInArrow(_first_levels, ROW)
     found = _shared(rows, cut(_nodes(rows)))
     pairs = cut(_candidates(found))
-    links = _links(docs, pairs, n_words, threshold).union(_same_document(full, classes))
-    groups = cut(components(links))
+    groups = cut(components(_links(docs, pairs, n_words, threshold).union(_same_document(full, classes))))
     for level in range(DEPTH, DEEPEST + 1):
         again, stuck = _unsettled(found.filter(F.col("size") > SMALL).select("node", *MEMBER), groups, level == DEEPEST)
         stuck = cut(_across(stuck))
-        more, settled = None, stuck.isEmpty()
-        if not settled:
-            links = links.union(_exhaustive(docs, stuck, n_words, threshold))
+        more, links = None, []
+        if not stuck.isEmpty():
+            links.append(_exhaustive(docs, stuck, n_words, threshold))
         if level < DEEPEST:
             sigs = again.join(classes.select("doc", "sig"), "doc").select("node", *MEMBER, "sig")
             rows = cut(sigs.mapInArrow(_next_level(level), ROW))
@@ -220,9 +222,9 @@ def near_duplicates(documents: DataFrame, n_words: int = 5, threshold: int = 80)
                 found = _shared(rows, cut(_nodes(rows)))
                 more = cut(_candidates(found).join(pairs, ["a", "b"], "left_anti"))
                 pairs = pairs.union(more)
-                links = links.union(_links(docs, more, n_words, threshold))
-        if more is not None or not settled:
-            groups = cut(components(links))
+                links.append(_links(docs, more, n_words, threshold))
+        if links:
+            groups = cut(merged(groups, reduce(DataFrame.union, links)))
         if more is None:
             break
     top = classes.join(groups, classes["doc"] == groups["node"], "left").select("name", F.coalesce("component", "doc").alias("component"))
@@ -345,9 +347,11 @@ def _exhaustive(docs: DataFrame, stuck: DataFrame, n_words: int, threshold: int)
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     """Sets of the wanted documents. Their ids are broadcast where a count shows that they are few enough; otherwise texts are dealt out by id."""
     wanted = wanted.distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    n = wanted.count()
+    wanted = F.broadcast(wanted) if n <= BROADCAST else wanted
     texts = docs.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi")
-    return texts.mapInArrow(_sets(n_words), "doc long, words array<long>")
+    sets = texts.mapInArrow(_sets(n_words), "doc long, words array<long>")
+    return sets.repartition("doc") if n <= FEW else sets
 
 
 def op2_near(spark, sf_dir):

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessera.llm.components import components
+from tessera.llm.components import components, merged
 
 
 @pytest.mark.parametrize("finish", [0, 5, 1000])
@@ -18,3 +18,14 @@ def test_components_of_paths_stars_and_cycles(spark, finish):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("finish", [0, 1000])
+def test_merged_equals_components_of_all_edges(spark, finish):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for at in (0, 1, 80, 160):
+        want = {(r["node"], r["component"]) for r in components(frame(edges)).collect()}
+        got = [(r["node"], r["component"]) for r in merged(components(frame(edges[:at])), frame(edges[at:]), finish).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

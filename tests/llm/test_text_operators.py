@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, lines, near, secrets, substring
+from tessera.llm.learn import documents_text
 from tessera.llm.words import Words, joined, least, slices
 
 import numpy as np
@@ -194,6 +195,15 @@ def test_near_duplicates_branch_and_settle(make, monkeypatch):
     assert got == components_by_force(texts, 2)
 
 
+def test_near_few_sets_make_few_files(spark, make):
+    """A checkpoint writes a file for each partition, and on a local disk Hadoop forks the executor for each."""
+    docs = documents_text(make([f"some words here {i}" for i in range(40)])).repartition(16)
+    wanted = spark.createDataFrame([(3,), (5,)], "doc long")
+    sets = near._wanted_sets(docs, wanted, 2)
+    assert sorted((r["doc"], len(r["words"])) for r in sets.collect()) == [(3, 3), (5, 3)]
+    assert sets.rdd.getNumPartitions() <= 4
+
+
 def test_near_duplicates_repeated_ids(spark):
     """An id with several texts is one document: what is linked with any of them is in its component."""
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
