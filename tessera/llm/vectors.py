@@ -27,6 +27,8 @@ from .components import components
 from .tables import cut, table
 
 DIMS, CELL, AXES, COSINE, MARGIN = 16, 4000, 2, 0.9, 1e-5
+#: Rows of either side whose distances are made at once.
+TILE = 256, 1024
 
 
 def rotation(width: int) -> np.ndarray:
@@ -82,18 +84,23 @@ def _meet(width: int, cosine: float):
         values = np.frombuffer(b"".join(pdf["part"]), dtype=np.float32).reshape(len(pdf), -1)
         own, ids = pdf["side"].to_numpy() == 0, pdf["class"].to_numpy()
         inner = own & pdf["inner"].to_numpy()
-        left, right = values[own], values
-        square = (right**2).sum(1)
-        found = []
-        for at in range(0, len(left), 512):
-            far = (left[at : at + 512] ** 2).sum(1)[:, None] + square - 2 * left[at : at + 512] @ right.T
-            i, j = np.nonzero(far <= budget)
-            x, y = ids[own][at + i], ids[j]
-            # within a cell's own block both orders meet: keep one
-            both = own[j] & inner[j]
-            good = (x != y) & (~both | (x < y))
-            found.append(np.stack((np.minimum(x, y)[good], np.maximum(x, y)[good])))
-        pairs = np.unique(np.hstack(found), axis=1) if found else np.empty((2, 0), np.int64)
+        # the squared distance |x|^2 - 2xy + |y|^2 as one product, by tiles that stay in a core's cache
+        square, one = (values.astype(np.float64) ** 2).sum(1).astype(np.float32)[:, None], np.ones((len(values), 1), np.float32)
+        left, right, mine = np.hstack((-2 * values, square, one))[own], np.hstack((values, one, square)), ids[own]
+        found = [np.empty((2, 0), np.int64)]
+        for start in range(0, len(right) if len(left) else 0, TILE[1]):
+            turned = np.ascontiguousarray(right[start : start + TILE[1]].T)
+            for at in range(0, len(left), TILE[0]):
+                close = left[at : at + TILE[0]] @ turned <= budget
+                if not close.any():
+                    continue
+                i, j = np.divmod(np.flatnonzero(close), close.shape[1])
+                x, y, j = mine[at + i], ids[start + j], start + j
+                # within a cell's own block both orders meet: keep one
+                both = own[j] & inner[j]
+                good = (x != y) & (~both | (x < y))
+                found.append(np.stack((np.minimum(x, y)[good], np.maximum(x, y)[good])))
+        pairs = np.hstack(found)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     return run

@@ -250,6 +250,27 @@ def test_near_vectors(spark, monkeypatch, cell):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def test_near_vectors_meet_by_tiles():
+    """A task of many vectors finds each close pair once and holds tiles of distances, never rows against all."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng, n = np.random.default_rng(3), 9000
+    parts = rng.normal(size=(n, 16)).astype(np.float32) / 8
+    parts[3000:3200] = parts[:200] + rng.normal(size=(200, 16)).astype(np.float32) / 30
+    parts[7000:7200] = parts[:200] + rng.normal(size=(200, 16)).astype(np.float32) / 30
+    frame = pd.DataFrame({"class": np.arange(n) * 3, "block": 1, "part": [p.tobytes() for p in parts], "inner": np.arange(n) < 6000, "side": (np.arange(n) >= 5000).astype(int)})
+    tracemalloc.start()
+    got = vectors._meet(64, 0.9)(None, frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    wide = parts.astype(np.float64)
+    want = [(a * 3, b * 3) for a in range(5000) for b in (a + 1 + np.flatnonzero(((wide[a + 1 :] - wide[a]) ** 2).sum(1) <= 0.05 + vectors.MARGIN)).tolist()]
+    assert len(want) > 200 and sorted(zip(got["a"].tolist(), got["b"].tolist(), strict=True)) == want
+    assert peak < 16e6
+
+
 def test_pipeline_stages(spark, real, make):
     passage = next(r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect())
     texts = real[:150] + [real[3], (real[4] or "") + " one more", "before " + passage + " after"] + real[-14:]
